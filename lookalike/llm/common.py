@@ -50,6 +50,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish(spark: SparkSession, name: str, data: bytes) -> str:
+    """Put a file of bounded size into the shared folder and have every executor, also one that comes later, fetch it.
+    Returns the name for SparkFiles.get(), which holds a digest, so that equal files are fetched once."""
+    import hashlib
+
+    name = f"{name}-{hashlib.sha256(data).hexdigest()[:32]}"
+    uri = f"{scratch(spark)}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    if not any(str(x).endswith(name) for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(uri)
+    return name
+
+
 def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded size; a session setting, as Spark has no per-plan one."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) != BATCH_ROWS:

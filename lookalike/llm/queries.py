@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, jpeg, urls
+from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +20,45 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: The contract's rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(as_long("page_id"), "url")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = jpeg.store(table(spark, sf_dir, "documents").select(as_long("doc_id"), "text")).select("doc_id", "source_bytes", "media")
+    kept = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    size = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), F.col("thumb_hash"))
+    return jpeg.probe(kept).select("doc_id", F.col("source_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", size.alias("feature"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer_file())
 
 
 QUERIES: dict[str, Query] = {
+    "op2_url_rules": op2_url_rules,
+    "op4_jpeg_media": op4_jpeg_media,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op2_url_rules": f"""
+with parts as (
+  select page_id, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) x, coalesce(contains(url, '://'), false) ok from pages
+), split as (
+  select page_id, case when ok then translate(x.h, '{_UPPER}', '{_LOWER}') else '' end host, case when ok then x.p else '' end path from parts
+), rules(kind, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fit as (
+  select page_id, h || p as rule, kind, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) k
+  from split join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+)
+select cast(s.page_id as bigint) page_id, host, path, rule, coalesce(kind, 'allow') verdict
+from split s left join fit f on s.page_id = f.page_id and k = 1""",
+}
