@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, sampling, urls
+from . import bpe, jpeg, mixing, quality, sampling, urls
 from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,18 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.probe(kept).select("doc_id", F.col("source_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", size.alias("feature"))
 
 
+def op6_random_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, known = quality.learn(docs, labels)
+    scored = quality.score_statistics(known, model)
+    return scored.select("doc_id", (quality.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -47,6 +59,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_rules": op2_url_rules,
     "op4_jpeg_media": op4_jpeg_media,
+    "op6_random_features": op6_random_features,
+    "op8_weighted_mix": op8_weighted_mix,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -66,4 +80,31 @@ fit as (
 )
 select cast(s.page_id as bigint) page_id, host, path, rule, coalesce(kind, 'allow') verdict
 from split s left join fit f on s.page_id = f.page_id and k = 1""",
+    "op8_weighted_mix": r"""
+with docs as (
+  select cast(doc_id as bigint) doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size,
+    coalesce(1.0::double / (1.0::double + 10.0::double * (length(text) - length(translate(text, '!#$%&*|', ''))) / greatest(length(text), 1)), 1.0::double) quality,
+    (cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '-mix'), 1, 13) as bigint) as double) + 0.5::double) / 4503599627370496.0::double u
+  from documents
+), sizes as (
+  select source, cast(sum(size) as bigint) source_size, (row_number() over (order by source nulls last) - 1) % 3 turn from docs group by source
+), caps as (
+  select source, source_size, 3 * source_size cap, case turn when 0 then 5 when 1 then 2 else 1 end w from sizes
+), ranked as (
+  select *, row_number() over (order by cap::double / w, source nulls last) r,
+    (select sum(source_size) from caps) - coalesce(sum(cap) over (order by cap::double / w, source nulls last rows between unbounded preceding and 1 preceding), 0) rest,
+    (select sum(w) from caps) - coalesce(sum(w) over (order by cap::double / w, source nulls last rows between unbounded preceding and 1 preceding), 0) heft
+  from caps
+), level as (select r, rest, heft from ranked where rest * w <= cap * heft order by r limit 1),
+target as (
+  select source, source_size, case when l.r is null or k.r < l.r then cap::double else (l.rest * w)::double / l.heft::double end target
+  from ranked k left join level l on true
+), plan as (
+  select *, cast(case when source_size > 0 then least(floor(target / source_size), 3) else 0 end as bigint) epochs from target
+), sums as (
+  select d.*, p.source_size, p.target, p.epochs, case when p.epochs >= 3 then 0 else p.target - p.epochs * p.source_size end part,
+    sum(size) over (partition by d.source order by -ln(u) / quality, doc_id rows between unbounded preceding and current row) - size before
+  from docs d join plan p on d.source is not distinct from p.source
+)
+select doc_id, size, source_size, target, cast(size * (epochs + case when part - before > size / 2 then 1 else 0 end) as bigint) taken from sums""",
 }
