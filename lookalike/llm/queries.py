@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, mixing, quality, sampling, urls
+from . import bpe, jpeg, mixing, quality, sampling, urls, warc
 from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.probe(kept).select("doc_id", F.col("source_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", size.alias("feature"))
 
 
+def op5_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_random_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model, known = quality.learn(docs, labels)
@@ -59,6 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_rules": op2_url_rules,
     "op4_jpeg_media": op4_jpeg_media,
+    "op5_capture_index": op5_capture_index,
     "op6_random_features": op6_random_features,
     "op8_weighted_mix": op8_weighted_mix,
     "op9_weighted_sampling": op9_weighted_sampling,
@@ -80,6 +85,13 @@ fit as (
 )
 select cast(s.page_id as bigint) page_id, host, path, rule, coalesce(kind, 'allow') verdict
 from split s left join fit f on s.page_id = f.page_id and k = 1""",
+    "op5_capture_index": """
+with p as (
+  select cast(page_id as bigint) page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages
+), f as (select payload_digest, payload_bytes, max(page_id) top from p where payload_bytes >= 1000 group by 1, 2)
+select p.page_id, p.payload_bytes, p.payload_digest, case when top > page_id then 'revisit' else 'response' end record_type,
+  case when top > page_id then top end refers_to
+from p left join f on p.payload_digest = f.payload_digest and p.payload_bytes = f.payload_bytes""",
     "op8_weighted_mix": r"""
 with docs as (
   select cast(doc_id as bigint) doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size,
