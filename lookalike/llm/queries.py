@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, mixing, quality, sampling, urls, warc
+from . import bpe, jpeg, mixing, quality, sampling, substrings, urls, warc
 from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_random_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op4_jpeg_media": op4_jpeg_media,
     "op5_capture_index": op5_capture_index,
     "op6_random_features": op6_random_features,
+    "op7_level_doubling": op7_level_doubling,
     "op8_weighted_mix": op8_weighted_mix,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_byte_bpe": op10_byte_bpe,
