@@ -1,0 +1,29 @@
+"""Connected components of links that are too many for one machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stash
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component, the least node that can be reached, for each node of the links (long ids; order and repeats
+    don't matter). Every round each node takes the least label among its neighbours and then that label's own label, so
+    distances about halve. Labels are written between rounds; the driver sees one count a round. All joins are between
+    plain scans, whose hot keys adaptive execution splits."""
+    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    edges = stash(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = stash(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
+    while True:
+        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
+        closer = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        closer = stash(closer, "labels")
+        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
+        new = closer.join(jump, closer["component"] == jump["at"]).select("node", "old", F.least("component", "far").alias("component"))
+        new = stash(new, "labels")
+        changed = new.filter("component <> old").limit(1).count()
+        labels = new.select("node", "component")
+        if not changed:
+            return labels

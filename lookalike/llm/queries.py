@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, mixing, quality, sampling, substrings, urls, warc
+from . import bpe, jpeg, minhash, mixing, quality, sampling, substrings, urls, warc
 from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.store(table(spark, sf_dir, "documents").select(as_long("doc_id"), "text")).select("doc_id", "source_bytes", "media")
     kept = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
@@ -66,6 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_url_rules": op2_url_rules,
+    "op3_tensored_minhash": op3_tensored_minhash,
     "op4_jpeg_media": op4_jpeg_media,
     "op5_capture_index": op5_capture_index,
     "op6_random_features": op6_random_features,
