@@ -124,26 +124,30 @@ def with_next(df: DataFrame, key: str, text: str, most_blocks: int = 10_000) ->
     count = rows.count()
     blocks = max(1, min(most_blocks, count // 512))
     cuts = sorted(set(rows.stat.approxQuantile("_order", [i / blocks for i in range(1, blocks)], 0.25 / blocks))) if blocks > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-
-    def block_of(order):
-        """Number of cuts up to the id, by binary search on a literal array."""
-        if edges is None:
-            return F.lit(0)
-        found = F.lit(0)
-        step = 1 << (len(cuts).bit_length() - 1)
-        while step:
-            reach = found + F.lit(step)
-            found = F.when((reach <= len(cuts)) & (F.get(edges, reach - 1) <= order), reach).otherwise(found)
-            step >>= 1
-        return found
-
-    rows = rows.withColumn("_block", block_of(F.col("_order")))
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy("_block").agg(F.min("_order")).collect())
-    guests = [(order, firsts[i - 1][0]) for i, (_, order) in enumerate(firsts)]
-    tags = spark.createDataFrame(guests, "_order long, _host int") if guests else spark.createDataFrame([], "_order long, _host int")
-    visits = rows.join(F.broadcast(tags), "_order").select("_order", text, F.col("_host").alias("_block"), F.lit(1).alias("_guest"))
-    both = rows.select("_order", text, "_block", F.lit(0).alias("_guest")).unionByName(visits)
+    edges = np.array(cuts, np.int64)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = np.searchsorted(edges, b.column(0).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(block, pa.int32())], ["_order", "_block"])
+
+    ids = rows.select("_order").mapInArrow(numbered, "_order long, _block int")
+    firsts = sorted((r[0], r[1]) for r in ids.groupBy("_block").agg(F.min("_order")).collect())
+    host = {order: firsts[i - 1][0] for i, (_, order) in enumerate(firsts)}
+    heads = np.array(sorted(host), np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = b.column(0).to_numpy()
+            block = np.searchsorted(edges, order, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(np.zeros(len(order), np.int32))], names)
+            visits = np.flatnonzero(np.isin(order, heads))
+            if len(visits):
+                at = pa.array([host[k] for k in order[visits].tolist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(visits)).columns, at, pa.array(np.ones(len(visits), np.int32))], names)
+
+    names = ["_order", text, "_block", "_guest"]
+    both = rows.mapInArrow(dealt, f"_order long, `{text}` string, _block int, _guest int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(parts, "_block").sortWithinPartitions("_block", "_guest", "_order", text)
 
