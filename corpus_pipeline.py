@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over the documents, each the input of the next."""
+"""The corpus pipeline: quality, near duplicates, repeated substrings, the mix of sources, and token ids.
+
+Each stage takes the documents that its predecessor kept, all of them and their whole texts, and its decisions take effect.
+All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lookalike.llm import bpe, minhash, mixing, quality, substrings
+from lookalike.llm.common import stash, table
+from lookalike.llm.queries import tokenizer_file
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more; the classifier learns from the labels of documents that are here."""
+    model, _ = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score_texts(docs, model, out="_score").filter("_score >= 0.5").select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group that is linked by a similarity of 0.8 or more."""
+    return minhash.keep_one(docs, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 50-word windows that a document with a smaller id has too."""
+    return substrings.remove(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mix(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and whether they decode to the text."""
+    file = tokenizer_file()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), *file), *file)
+    same = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_near),
+    ("substrings", cut_repeats),
+    ("mix", mix_sources),
+    ("tokens", to_tokens),
+]
+
+#: The classifier, the sketches and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, minhash, mixing, quality, sampling, substrings, urls, warc
+from . import bpe, html, jpeg, minhash, mixing, quality, sampling, substrings, urls, warc
 from .common import as_long, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def tokenizer_file() -> tuple[str, str]:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(as_long("page_id"), "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(as_long("page_id"), "url")
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -69,6 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_host_suffixes": op1_host_suffixes,
     "op2_url_rules": op2_url_rules,
     "op3_tensored_minhash": op3_tensored_minhash,
     "op4_jpeg_media": op4_jpeg_media,
