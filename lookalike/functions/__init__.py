@@ -1 +1 @@
-
+"""Column expressions: projections, scores, classes, names, and similarity signatures."""
