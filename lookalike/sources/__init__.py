@@ -1 +1 @@
-
+"""Listings and contents of files as DataFrames."""
