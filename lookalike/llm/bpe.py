@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import as_long, gathered, raw_strings, tune
 
 #: Text bytes that are pre-tokenised together. More find more equal pre-tokens and fuller buckets, and take more memory.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 
 class Bitmap:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,13 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and a Python worker: texts are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1024
+#: Text bytes after which a worker gives freed memory back.
+RELEASE_BYTES = 16 << 20
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 _own_scratch: dict[str, str] = {}
 
@@ -98,8 +106,16 @@ def raw_strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data, off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with what it needs and no more."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts take most_bytes together at most, or one text."""
+    seen = 0
     for batch in batches:
         _, off = raw_strings(batch.column(column))
         at = 0
@@ -107,6 +123,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             to = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        seen += int(off[-1])
+        if seen > RELEASE_BYTES:
+            release()
+            seen = 0
+    release()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:

@@ -31,7 +31,7 @@ FEATURES = 384
 RIDGE = 1e-3
 BINS = 4096
 FAN_IN = 16
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 STATISTICS = ("bytes", "words", "word_length", "upper", "symbols", "exclaims", "bars", "digits", "beyond_ascii", "lines", "stops", "doubled_symbols", "distinct_words", "stutters", "repeated_shingles", "long_words", "symbol_words", "upper_words")
 

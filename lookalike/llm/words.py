@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .common import raw_strings
 
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 
 _separator = np.zeros(256, bool)
 _separator[[9, 10, 11, 12, 13, 32]] = True
