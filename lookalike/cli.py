@@ -48,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--copy", action="store_true")
     s.add_argument("--colors", type=int, default=3)
     command("fix-extensions")
-    command("convert").add_argument("--delete-originals", action="store_true")
+    s = command("convert")
+    s.add_argument("--delete-originals", action="store_true")
+    s.add_argument("--quality", type=int, default=95)
     s = command("metadata")
     s.add_argument("--what", choices=["exif", "dates"], default="dates")
     s.add_argument("--start", type=stamp, required=True)
@@ -123,7 +125,7 @@ def run(args: argparse.Namespace, spark) -> int:
     if args.command == "fix-extensions":
         return show(engine.run(moves.fix_extensions(analyze.true_formats(files.files(spark, root, None, deep, content=True))), dry))
     if args.command == "convert":
-        return show(engine.run(moves.convert_to_jpg(engine.listing(root, deep), args.delete_originals), dry))
+        return show(engine.run(moves.convert_to_jpg(engine.listing(root, deep), args.delete_originals), dry, args.quality))
     if args.command == "metadata":
         listing = engine.listing(root, deep)
         if args.what == "exif":

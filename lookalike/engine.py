@@ -7,6 +7,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -86,6 +87,7 @@ class Engine:
         self.session.status, self.session.progress = status, progress
 
     def _scan(self, root, threshold, exact_only, perceptual_only, recursive, use_cache, use_index, strategy, link_exact) -> Scan:
+        began = time.time()
         self._at("scanning", 0)
         listing = written(files.images(self.spark, root, recursive), "listing")
         self._at("analyzing", 20)
@@ -101,6 +103,7 @@ class Engine:
             parts.append(groups.perceptual_groups(near, threshold, start_id=last + 1, use_index=use_index, link_exact=link_exact))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         members = written(groups.ranked(written(found, "groups"), good), "ranked")
+        self.cache.record_scan(root, rows.count(), time.time() - began)
         self._at("complete", 100)
         return Scan(rows, groups.failed_assets(rows), members, selection.select(members, strategy))
 
@@ -128,6 +131,14 @@ class Engine:
     def resume(self) -> None:
         self.session.pause(False)
 
+    def progress(self, every: float = 0.5) -> Iterator[dict]:
+        """The session's status again and again until it has ended."""
+        while True:
+            yield self.session.status_view()
+            if self.session.status in ("complete", "cancelled", "error"):
+                return
+            time.sleep(every)
+
     # Views
 
     def select(self, scan: Scan, strategy: str) -> DataFrame:
@@ -137,7 +148,10 @@ class Engine:
         return reports.page(groups.group_summary(reports.filtered(scan.members, match_type, text)), page, by)
 
     def export(self, scan: Scan, path: str, fmt: str = "txt") -> None:
-        reports.export(scan.members, path, fmt)
+        if fmt == "txt":
+            reports.export_txt(scan.members, path, scan.failed)
+        else:
+            reports.export(scan.members, path, fmt)
 
     def history(self) -> History:
         return History(self.config.path("history"), int(self.config.get("history_length")))
@@ -150,8 +164,8 @@ class Engine:
     def listing(self, root: str, recursive: bool = True) -> DataFrame:
         return written(files.files(self.spark, root, None, recursive), "listing")
 
-    def run(self, plan: DataFrame, dry_run: bool = True) -> DataFrame:
-        return execute.execute(plan, dry_run)
+    def run(self, plan: DataFrame, dry_run: bool = True, quality: int = 95) -> DataFrame:
+        return execute.execute(plan, dry_run, checks.clamped(quality, 1, 100))
 
     def clean_folders(self, root: str, dry_run: bool = True) -> DataFrame:
         """Empty folders below root; a tree without a file is one too."""
@@ -166,14 +180,14 @@ class Engine:
         execute.quarantine(decided, trash, dry_run)
         return decided
 
-    def pipeline(self, root: str, steps: list[str], start: datetime | None = None, end: datetime | None = None, name_length: int = 12, delete_originals: bool = False, trash: str | None = None, dry_run: bool = True, seed: int = 0) -> dict[str, DataFrame]:
+    def pipeline(self, root: str, steps: list[str], start: datetime | None = None, end: datetime | None = None, name_length: int = 12, jpg_quality: int = 95, delete_originals: bool = False, trash: str | None = None, dry_run: bool = True, seed: int = 0) -> dict[str, DataFrame]:
         """The outcome of each step, in order. Nothing is done if a step or the dates are wrong."""
         wrong = checks.pipeline(steps, start, end)
         if wrong:
             raise ValueError("; ".join(wrong))
         run = {
             "random_rename": lambda: self.run(moves.rename_random(files.images(self.spark, root), name_length, seed), dry_run),
-            "convert_jpg": lambda: self.run(moves.convert_to_jpg(self.listing(root), delete_originals), dry_run),
+            "convert_jpg": lambda: self.run(moves.convert_to_jpg(self.listing(root), delete_originals), dry_run, jpg_quality),
             "randomize_exif": lambda: execute.set_exif_dates(dates.randomize_exif_dates(self.listing(root), start, end, seed), dry_run),
             "randomize_dates": lambda: execute.set_times(dates.randomize_dates(self.listing(root), start, end, seed), dry_run),
             "cleanup_empty": lambda: self.clean_folders(root, dry_run),

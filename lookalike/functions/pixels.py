@@ -1,6 +1,6 @@
 """Image bytes: format, size, pixels, perceptual hash, colours. Everything is numpy; a codec library is used for other
-formats than PNG, BMP, GIF sizes and PNM where one is installed, else their pixels are an error and their sizes are read
-from the header.
+formats than PNG, BMP, GIF, PNM and baseline JPEG where one is installed, and for JPEG before our own decoder, as it is faster;
+without it only the sizes of other formats are read.
 
 The hash is a DCT of a 64 x 64 luminance thumbnail, low 16 x 16 coefficients against their median: 256 bits, equal for equal
 pictures, near for near ones. Other libraries filter thumbnails differently, so their hashes are not these."""
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import jpeg
+
 try:
     from PIL import Image as _codec
 except ImportError:
@@ -145,7 +147,7 @@ def pixels(data: bytes) -> np.ndarray:
     """Height x width x 3 bytes; transparent parts over white, CMYK inverted. Raises Unreadable."""
     head = header(data)
     try:
-        if head.format in _decoders:
+        if head.format in _decoders and not (head.format == "JPEG" and _codec is not None):
             return _decoders[head.format](data, head)
         if _codec is not None:
             with _codec.open(io.BytesIO(data)) as image:
@@ -154,7 +156,9 @@ def pixels(data: bytes) -> np.ndarray:
                 return np.asarray(image.convert("RGB"))
     except Unreadable:
         raise
-    except (ValueError, IndexError, OSError, struct.error, zlib.error) as e:
+    except jpeg.Unsupported as e:
+        raise Unreadable(f"no decoder: {e}", "no_decoder") from e
+    except (KeyError, ValueError, IndexError, OSError, struct.error, zlib.error) as e:
         raise Unreadable(f"image file is truncated: {e}") from e
     raise Unreadable(f"no decoder for {head.format}", "no_decoder")
 
@@ -282,7 +286,82 @@ def _pnm(data: bytes, head: Header) -> np.ndarray:
     return np.repeat(x, 3 // channels, axis=2).astype(np.uint8)
 
 
-_decoders = {"PNG": _png, "BMP": _bmp, "PPM": _pnm}
+def _gif(data: bytes, head: Header) -> np.ndarray:
+    """The first frame over white."""
+    flags = data[10]
+    at = 13
+    shared = None
+    if flags & 128:
+        n = 3 << ((flags & 7) + 1)
+        shared, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+    clear = None
+    while data[at] != 0x2C:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9 and data[at + 3] & 1:
+                clear = data[at + 6]
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+        else:
+            raise Unreadable("image file is truncated")
+    x, y, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+    at += 10
+    table = shared
+    if local & 128:
+        n = 3 << ((local & 7) + 1)
+        table, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+    least, at, packed = data[at], at + 1, []
+    while data[at]:
+        packed.append(data[at + 1 : at + 1 + data[at]])
+        at += data[at] + 1
+    found = np.frombuffer(_lzw(b"".join(packed), least, w * h), np.uint8).reshape(h, w)
+    if local & 64:
+        rows = [r for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(start, h, step)]
+        plain = np.zeros_like(found)
+        plain[rows] = found
+        found = plain
+    out = np.full((head.height, head.width, 3), 255, np.uint8)
+    frame = table[np.minimum(found, len(table) - 1)].copy()
+    if clear is not None:
+        frame[found == clear] = 255
+    part = out[y : y + h, x : x + w]
+    part[:] = frame[: part.shape[0], : part.shape[1]]
+    return out
+
+
+def _lzw(data: bytes, least: int, size: int) -> bytes:
+    """GIF's variable-length codes undone."""
+    clear, bits, held, n, out = 1 << least, least + 1, 0, 0, bytearray()
+    table: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
+    last = b""
+    for byte in data:
+        held |= byte << n
+        n += 8
+        while n >= bits:
+            code = held & ((1 << bits) - 1)
+            held >>= bits
+            n -= bits
+            if code == clear:
+                table, bits, last = table[: clear + 2], least + 1, b""
+                continue
+            if code == clear + 1 or len(out) >= size:
+                break
+            if code > len(table) or not last and code >= len(table):
+                raise Unreadable("broken image data")
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+                if len(table) == 1 << bits and bits < 12:
+                    bits += 1
+            last = entry
+    if len(out) < size:
+        raise Unreadable("image file is truncated")
+    return bytes(out[:size])
+
+
+_decoders = {"PNG": _png, "BMP": _bmp, "PPM": _pnm, "GIF": _gif, "JPEG": lambda data, _: jpeg.decode(data)}
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -366,9 +445,5 @@ def encode_png(image: np.ndarray) -> bytes:
 
 
 def encode_jpeg(image: np.ndarray, quality: int = 95) -> bytes:
-    """RGB pixels as a JPEG; needs a codec library."""
-    if _codec is None:
-        raise Unreadable("no JPEG encoder is installed", "no_decoder")
-    out = io.BytesIO()
-    _codec.fromarray(np.asarray(image, np.uint8)).save(out, "JPEG", quality=quality, optimize=True)
-    return out.getvalue()
+    """RGB pixels as a JPEG."""
+    return jpeg.encode(np.asarray(image, np.uint8), quality)

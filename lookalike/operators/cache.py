@@ -17,6 +17,7 @@ from ..schema import CACHE, CACHE_DAYS
 
 SCHEMA_VERSION = 1
 DAY = 86400.0
+_SCANS = "directory string, file_count long, scan_time double, created_at double"
 
 
 def keyed(files: DataFrame) -> DataFrame:
@@ -165,3 +166,12 @@ class Cache:
 
     def statistics(self) -> DataFrame:
         return statistics(self.read())
+
+    def record_scan(self, directory: str, files: int, seconds: float, now: float | None = None) -> None:
+        row = [(directory, files, seconds, time.time() if now is None else now)]
+        self.spark.createDataFrame(row, _SCANS).coalesce(1).write.mode("append").parquet(f"{self.root}/scan_history")
+
+    def scan_history(self) -> DataFrame:
+        if not self._fs().exists(self._path("scan_history")):
+            return self.spark.createDataFrame([], _SCANS)
+        return self.spark.read.schema(_SCANS).parquet(f"{self.root}/scan_history")

@@ -86,6 +86,16 @@ def recent(visits: DataFrame, n: int = HISTORY_LENGTH) -> DataFrame:
     return last.orderBy(F.col("last_used").desc(), "directory").limit(n)
 
 
+def to_json(rows: DataFrame) -> DataFrame:
+    """Each row as a JSON document in the column value."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def from_json(rows: DataFrame, schema) -> DataFrame:
+    """Rows of a schema from JSON documents in the column value; what is absent is null."""
+    return rows.select(F.from_json("value", schema).alias("_r")).select("_r.*")
+
+
 def export_rows(members: DataFrame) -> DataFrame:
     """Rows of the CSV report: exact groups from 1 on, perceptual ones after them."""
     first = members.filter("rn = 1").select("group_id", "match_type")
@@ -116,9 +126,14 @@ def text_lines(members: DataFrame) -> DataFrame:
     return titles.unionByName(heads).unionByName(lines)
 
 
-def export_txt(members: DataFrame, path: str) -> None:
-    """A folder of one text file."""
-    text_lines(members).repartitionByRange(1, "part", "g", "line").sortWithinPartitions("part", "g", "line").select("value").write.mode("overwrite").text(path)
+def export_txt(members: DataFrame, path: str, failed: DataFrame | None = None) -> None:
+    """A folder of one text file, with the files that could not be read at its end if they are given."""
+    lines = text_lines(members)
+    if failed is not None:
+        title = members.sparkSession.createDataFrame([(3, 0, 0, f"\n\nFAILED FILES\n{'-' * 70}")], "part int, g long, line int, value string")
+        broken = failed.select(F.lit(3).alias("part"), F.lit(1).cast("long").alias("g"), F.lit(0).alias("line"), F.concat(F.lit("  "), "path", F.lit(": "), "error").alias("value"))
+        lines = lines.unionByName(title).unionByName(broken)
+    lines.repartitionByRange(1, "part", "g", "line").sortWithinPartitions("part", "g", "line", "value").select("value").write.mode("overwrite").text(path)
 
 
 def export_json(members: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ import os
 import shutil
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import partial
 from pathlib import Path
 
 import pandas as pd
@@ -53,10 +54,10 @@ def _link(make: Callable[[str, str], None]) -> Callable[[str, str, str | None],
     return run
 
 
-def _convert(src: str, dest: str, reason: str | None) -> None:
+def _convert(src: str, dest: str, reason: str | None, quality: int = 95) -> None:
     if not os.path.exists(src) and os.path.exists(dest):
         return
-    data = pixels.encode_jpeg(pixels.pixels(Path(src).read_bytes()))
+    data = pixels.encode_jpeg(pixels.pixels(Path(src).read_bytes()), quality)
     draft = f"{dest}.part-{os.getpid()}"
     Path(draft).write_bytes(data)
     os.replace(draft, dest)
@@ -75,8 +76,10 @@ ACTIONS: dict[str, Callable[[str, str, str | None], None]] = {
 }
 
 
-def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
-    """plan with status done, error, skipped or (in a dry run) planned, the file's size and the error's text."""
+def execute(plan: DataFrame, dry_run: bool = True, quality: int = 95) -> DataFrame:
+    """plan with status done, error, skipped or (in a dry run) planned, the file's size and the error's text. quality: of
+    converted pictures."""
+    actions = ACTIONS | {"convert": partial(_convert, quality=quality)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,7 +92,7 @@ def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
                     pass
                 if status == "planned" and not dry_run:
                     try:
-                        ACTIONS[op](src, dest, reason)
+                        actions[op](src, dest, reason)
                         status = "done"
                     except (OSError, KeyError, pixels.Unreadable) as e:
                         status, error = "error", f"{type(e).__name__}: {e}"

@@ -87,6 +87,8 @@ def test_reports(spark, tmp_path):
     with pytest.raises(ValueError):
         reports.export(m, "x", "xml")
     assert "3 duplicates, 17 bytes" in reports.console(m)
+    back = reports.from_json(reports.to_json(m), m.schema)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in m.collect()}
     assert reports.image_view(m).first()["file_size_formatted"] == "5.0 B"
 
 

@@ -51,6 +51,9 @@ def test_scan_select_and_act(spark, tree, tmp_path):
     assert {r["status"] for r in engine.act(found, "delete").collect()} == {"planned"} and (tree / "one.png").exists()
     done = engine.act(found, "delete", dry_run=False).collect()
     assert len(done) == 2 and sum(p.exists() for p in (tree / "one.png", tree / "sub/two.PNG", tree / "small.png", tree / "smaller.png")) == 2
+    assert engine.cache.scan_history().first()["file_count"] == 7 and [s["status"] for s in engine.progress()] == ["complete"]
+    engine.export(found, f"file://{tmp_path}/report")
+    assert "FAILED FILES" in "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/report").collect())
     exact = engine.scan(str(tree), exact_only=True, use_cache=False)
     assert exact.members.count() == 0
 
@@ -94,6 +97,8 @@ def test_operations(spark, tree, tmp_path):
     assert (tmp_path / "trash" / "text.jpg").exists() and not (tree / "text.jpg").exists()
     with pytest.raises(ValueError):
         engine.pipeline(str(tree), ["nonsense"])
+    jpgs = engine.pipeline(str(tree), ["convert_jpg"], jpg_quality=80, dry_run=False)["convert_jpg"].collect()
+    assert {r["status"] for r in jpgs if "broken" not in r["src"]} == {"done"} and (tree / "other.jpg").exists()
     out = engine.pipeline(str(tree), ["random_rename", "cleanup_empty"], dry_run=False)
     assert list(out) == ["random_rename", "cleanup_empty"] and not (tree / "one.png").exists()
 

@@ -51,6 +51,43 @@ def test_png_filters(kind):
     assert (P.pixels(data) == image).all()
 
 
+@pytest.mark.parametrize("size", [(64, 64), (37, 50), (8, 8), (1, 1)])
+def test_jpeg_there_and_back(pictures, size):
+    image = pictures(6, 64)[: size[0], : size[1]]
+    data = P.encode_jpeg(image, 95)
+    head = P.header(data)
+    assert (head.format, head.height, head.width) == ("JPEG", *size)
+    back = P.pixels(data)
+    assert back.shape == image.shape and np.abs(back.astype(int) - image).mean() < 3
+    assert len(P.encode_jpeg(image, 20)) <= len(data)
+    noise = np.random.default_rng(1).integers(0, 256, (40, 40, 3), np.uint8)
+    assert np.abs(P.pixels(P.encode_jpeg(noise, 100)).astype(int) - noise).mean() < 2
+    if size == (64, 64):
+        with pytest.raises(P.Unreadable):
+            P.pixels(data[: len(data) // 2])
+
+
+def test_code_lengths_are_limited():
+    from lookalike.functions.jpeg import _limited, code_lengths
+
+    counts = np.zeros(256, np.int64)
+    counts[:40] = [int(1.7**k) + 1 for k in range(40)]
+    lengths = code_lengths(counts)
+    assert len(lengths) == 40 and max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) < 1
+    assert code_lengths(np.eye(256, dtype=np.int64)[5]) == {5: 1} and _limited([1, 2, 20, 20]) == [1, 2, 16, 16]
+
+
+def test_gif_codes_undone(pictures):
+    rng = np.random.default_rng(3)
+    found = rng.integers(0, 4, (9, 13), np.uint8)
+    bits = "".join(f"{c:03b}"[::-1] for i, v in enumerate(found.ravel().tolist()) for c in ([4, v] if i % 2 == 0 else [v])) + f"{5:03b}"[::-1]
+    packed = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    table = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 9, 9, 9])
+    chunks = b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255))
+    data = b"GIF89a" + struct.pack("<HHBBB", 13, 9, 0x81, 0, 0) + table + b"\x2c" + struct.pack("<HHHHB", 0, 0, 13, 9, 0) + b"\2" + chunks + b"\0;"
+    assert (P.pixels(data) == np.frombuffer(table, np.uint8).reshape(4, 3)[found]).all()
+
+
 def test_damage_is_told_apart(pictures):
     data = P.encode_png(pictures(2))
     with pytest.raises(P.Unreadable, match="truncated"):
