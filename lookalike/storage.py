@@ -25,9 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lookalike-{app}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: survives lost executors, and a plain scan lets adaptive joins split hot keys."""
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives joins a plain scan on that
+    side, so that adaptive execution may split a hot key of the other side. narrow: for counts, links and the like that are
+    small next to their input: two files a core at most, not one for each shuffle partition."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(spark, name)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; no DataFrame that reads it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
