@@ -1,11 +1,9 @@
-"""What the operators share: the scratch folder, Arrow helpers and streamed groups."""
+"""What the operators share: tables in the shared folder, Arrow helpers and streamed groups."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, shared_folder
+from ..storage import written as stash
+
+__all__ = ["as_long", "chunks", "fresh_path", "gathered", "publish", "raw_strings", "release", "runs", "stash", "table", "tune"]
+
 #: Rows of one Arrow batch between the JVM and a Python worker: texts are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1024
 #: Text bytes after which a worker gives freed memory back.
@@ -23,48 +26,12 @@ try:
 except (OSError, AttributeError):  # another C library
     _trim = None
 
-_own_scratch: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _own_scratch.setdefault(app, "")
-        if not base:
-            base = _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="lookalike-")
-            spark.sparkContext.setCheckpointDir(base)
-            atexit.register(_forget, base)
-    return f"{base.rstrip('/')}/lookalike-{app}"
-
-
-def _forget(base: str) -> None:
-    import shutil
-
-    shutil.rmtree(base.removeprefix("file://"), ignore_errors=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and gives joins a
-    plain scan on that side, so that adaptive execution may split a hot key of the other side."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def publish(spark: SparkSession, name: str, data: bytes) -> str:
     """Put a file of bounded size into the shared folder and have every executor, also one that comes later, fetch it.
     Returns the name for SparkFiles.get(), which holds a digest, so that equal files are fetched once."""
-    import hashlib
-
     name = f"{name}-{hashlib.sha256(data).hexdigest()[:32]}"
-    uri = f"{scratch(spark)}/{name}"
+    uri = f"{shared_folder(spark)}/{name}"
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import chunks, runs, stash, tune
-from .graph import components
 from .words import mix, shingles, split
 
 SHINGLE = 5
@@ -89,12 +89,12 @@ def _signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def clusters(reps: DataFrame) -> DataFrame:
     """node and component of the documents (_id, _a, _b) that share a table's bucket with another."""
     keys = reps.select("_id", F.explode("_a").alias("_a"))
-    shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys")
+    shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys", narrow=True)
     few = keys.join(shared, "_a").groupBy("_id").agg(F.collect_set("_a").alias("_a"))
-    few = stash(few.join(reps.select("_id", "_b"), "_id"), "band-rows")
+    few = stash(few.join(reps.select("_id", "_b"), "_id"), "band-rows", narrow=True)
     tables = few.select("_id", F.explode("_a").alias("_a"), "_b").select("_id", "_a", F.explode("_b").alias("_b")).select("_id", F.xxhash64("_a", "_b").alias("_table"))
-    hubs = stash(tables.groupBy("_table").agg(F.min("_id").alias("a"), F.max("_id").alias("hi")).filter("a < hi").select("_table", "a"), "tables")
-    return components(tables.join(hubs, "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct())
+    hubs = stash(tables.groupBy("_table").agg(F.min("_id").alias("a"), F.max("_id").alias("hi")).filter("a < hi").select("_table", "a"), "tables", narrow=True)
+    return connected_components(tables.join(hubs, "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct(), "a", "b")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -162,8 +162,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def links(docs: DataFrame, members: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """a and b: links that span what is connected within each cluster (members: node, component)."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    sized = members.join(stash(sizes, "cluster-sizes"), "component").select(F.col("node").alias("_id"), F.col("component").alias("_cluster"), "_blocks")
-    rows = docs.select(_order(key), F.col(text).alias("_text")).join(stash(sized, "members"), "_id")
+    sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").select(F.col("node").alias("_id"), F.col("component").alias("_cluster"), "_blocks")
+    rows = docs.select(_order(key), F.col(text).alias("_text")).join(stash(sized, "members", narrow=True), "_id")
     sets = _sets(rows, size)
     paired = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     paired = paired.select("_id", "_cluster", "_block", "_items", "_sketch", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
@@ -187,9 +187,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     percent: similarity of linked sets, 80 or more."""
     tune(docs.sparkSession)
     signed = stash(_signed(docs, key, text, size), "signatures")
-    firsts = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_first")), "sets")
+    firsts = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_first")), "sets", narrow=True)
     reps = signed.join(firsts, "_set").filter("_id = _first").select("_id", "_a", "_b")
-    near = components(links(docs, clusters(stash(reps, "representatives")), key, text, size, percent))
+    near = connected_components(links(docs, clusters(stash(reps, "representatives")), key, text, size, percent), "a", "b")
     rows = signed.select("_id", "_n", "_set").join(firsts, "_set", "left").withColumn("_first", F.coalesce("_first", "_id"))
     rows = rows.join(near, rows["_first"] == near["node"], "left").withColumn("_component", F.coalesce("component", "_first"))
     null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
@@ -200,4 +200,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """docs with one document of each group of near duplicates, the one with the least id; all
     rows of an id stay or go together."""
     found = near_duplicates(docs, key, text, percent, size).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(found, docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(found, docs[key].cast("long").eqNullSafe(found["_gone"]), "left_anti")

@@ -85,7 +85,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") >= most, F.lit(0.0)).otherwise(F.col("target") - F.col("epochs") * F.col("source_size")))
-    sources = stash(sources, "mix-sources")
+    sources = stash(sources, "mix-sources", narrow=True)
 
 
     def crossing(part: DataFrame, budgets: DataFrame, column: str, left: str) -> DataFrame:
@@ -98,9 +98,9 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         return found.select("source", F.col("c.range").alias(f"{column}_cut"), F.col("c.left").alias(f"{column}_left"))
 
     wanted = sources.filter(F.col("rest") > 0)
-    first = stash(crossing(rows, wanted, "_range", "rest"), "mix-cut").filter("_range_cut is not null")
+    first = stash(crossing(rows, wanted, "_range", "rest"), "mix-cut", narrow=True).filter("_range_cut is not null")
     inner = rows.alias("r").join(first.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r._range") == F.col("f._range_cut"))).select("r.*")
-    second = stash(crossing(inner, first, "_fine", "_range_left"), "mix-cut").filter("_fine_cut is not null")
+    second = stash(crossing(inner, first, "_fine", "_range_left"), "mix-cut", narrow=True).filter("_fine_cut is not null")
     last = rows.alias("r").join(second.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r._fine") == F.col("f._fine_cut"))).select("r.*", "f._fine_left")
     order = W.partitionBy("source").orderBy("at", F.col("id").asc_nulls_first(), "_digest")
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
@@ -109,7 +109,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ends = last.filter(near).groupBy("source").agg(F.max(F.struct("at", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "_digest")).alias("end"))
     cuts = second.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.source", "_fine_cut", "end")
     whole = sources.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c._fine_cut", "c.end")
-    whole = stash(whole, "mix-plan")
+    whole = stash(whole, "mix-plan", narrow=True)
 
     mine = F.struct("at", F.coalesce(F.col("r.id"), F.lit(-(1 << 63))).alias("id"), "_digest")
     inside = F.coalesce((F.col("_fine") < F.col("_fine_cut")) | ((F.col("_fine") == F.col("_fine_cut")) & F.coalesce(mine <= F.col("end"), F.lit(False))), F.lit(False))
@@ -120,6 +120,6 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     rows = plan(docs, key, text, source, **options).filter("copies > 0").groupBy(F.col(key).alias("_id"), "_digest").agg(F.max("copies").alias("_copies"))
-    mine = F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
-    taken = docs.join(rows, docs[key].cast("long").eqNullSafe(rows["_id"]) & (mine == rows["_digest"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_own"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("_text"))
+    taken = packed.join(rows, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")

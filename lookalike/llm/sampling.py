@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, tune
 from .words import mix, split, word_hashes
@@ -105,7 +106,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", sa
     """df with the fingerprint of its texts in hexadecimal, four digits a sample."""
     tune(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c.lower() != out.lower()])
-    schema = kept.schema.add(out, "string", False)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, text, BATCH_BYTES):
