@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import gathered, stash, tune
-from .words import Words, split, window_hashes, word_hashes
+from .words import Words, mix, split, window_hashes, word_hashes
 
 LENGTH = 50
 #: Text bytes whose rows are combined before they are shuffled.
@@ -70,8 +70,8 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """Chosen half windows: _h, _id, _at (word), _done. Where several ids of a batch have one, its rows are done and one
-    more (_at = -1) stands for them."""
+    """Chosen half windows: _h, _id, _at (words at which they begin), _done. Where several ids of a batch have one, its rows
+    are done and one more without words stands for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "_text", BATCH_BYTES):
@@ -83,24 +83,27 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
             new = np.ones(len(chosen), bool)
             new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
             owner, chosen = owner[new], chosen[new]
-            h, of, at = halves[chosen], ids[owner], chosen - words.first[owner]
+            h, of, at = halves[chosen], ids[owner], (chosen - words.first[owner]).astype(np.int32)
             order = np.lexsort((of, h))
             h, of, at = h[order], of[order], at[order]
+            begin_row = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+            offsets = np.append(begin_row, len(at))
+            h, of = h[begin_row], of[begin_row]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             last = np.append(first[1:], len(h)) - 1
-            several = of[first] != of[last]
+            several = first != last
             done = np.repeat(several, last - first + 1)
-            spread = np.where(done, (h ^ of.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64), h)
+            spread = np.where(done, mix(h ^ mix(of.view(np.uint64))), h)
             beacon = first[several]
             out = [
                 pa.array(_signed(np.concatenate([spread, h[beacon]]))),
                 pa.array(np.concatenate([of, of[beacon]])),
-                pa.array(np.concatenate([at, np.full(len(beacon), -1)]).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([offsets, np.full(len(beacon), len(at))]), pa.int32()), pa.array(at)),
                 pa.array(np.concatenate([done, np.zeros(len(beacon), bool)])),
             ]
             yield pa.RecordBatch.from_arrays(out, ["_h", "_id", "_at", "_done"])
 
-    return rows.select("_id", "_text").mapInArrow(run, "_h long, _id long, _at int, _done boolean")
+    return rows.select("_id", "_text").mapInArrow(run, "_h long, _id long, _at array<int>, _done boolean")
 
 
 def _joined(data: bytes, words: Words, doc: int, keep: np.ndarray) -> bytes:
@@ -120,7 +123,7 @@ def _cut(data: bytes, words: Words, doc: int, keep: np.ndarray) -> bytes:
     return b"".join(data[start[i] : stop[j - 1]] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist())).rstrip(b" \t\n\v\f\r")
 
 
-_OPEN = "_id long, _tk int, _n long, _removed long, _kept binary, _text string, _covered array<int>, _h array<long>, _g array<int>, _at array<int>"
+_OPEN = "_id long, _tk int, _n long, _removed long, _kept binary, _text string, _covered array<int>, _h array<long>, _g array<int>, _at array<array<int>>"
 
 
 def _candidates(rows: DataFrame, length: int, finish) -> DataFrame:
@@ -137,9 +140,10 @@ def _candidates(rows: DataFrame, length: int, finish) -> DataFrame:
             copy = part.column("_copy").to_numpy(zero_copy_only=False)
             seen = part.column("_seen").combine_chunks()
             has = np.zeros(len(words.start) + 1, bool)
-            sizes = np.asarray(seen.value_lengths().fill_null(0))
-            at = np.asarray(seen.flatten()) + np.repeat(words.first[:-1], sizes)
-            has[at[~np.repeat(copy, sizes)]] = True
+            doc = np.repeat(np.arange(len(n)), np.asarray(seen.value_lengths().fill_null(0)))
+            at = np.asarray(seen.flatten())
+            mine = ~copy[doc] & (at < n[doc])  # another text of the same id may have words further on
+            has[at[mine] + words.first[doc[mine]]] = True
             hashes = word_hashes(words)
             begin, owner, chosen, _ = choices(words, hashes, length)
             mine = has[chosen] if len(chosen) else np.zeros(0, bool)
@@ -156,6 +160,13 @@ def _candidates(rows: DataFrame, length: int, finish) -> DataFrame:
             covered[order] = of[order] > least
             within = (begin - words.first[owner]).astype(np.int32)
             bounds = np.searchsorted(owner, np.arange(len(n) + 1))
+            rest = np.flatnonzero(~covered)  # a row per window and document
+            rest = rest[np.lexsort((within[rest], g[rest], h[rest], owner[rest]))]
+            new = np.ones(len(rest), bool)
+            new[1:] = (owner[rest][1:] != owner[rest][:-1]) | (h[rest][1:] != h[rest][:-1]) | (g[rest][1:] != g[rest][:-1])
+            row = rest[new]
+            per_doc = pa.array(np.searchsorted(owner[row], np.arange(len(n) + 1)), pa.int32())
+            places = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(rest)), pa.int32()), pa.array(within[rest]))
             texts, kept, removed = [], [], []
             for d in range(len(n)):
                 a, b = bounds[d], bounds[d + 1]
@@ -168,10 +179,9 @@ def _candidates(rows: DataFrame, length: int, finish) -> DataFrame:
                     kept.append(finish(data, words, d, np.full(n[d], not gone)))
                     removed.append(int(n[d]) if gone else 0)
                     texts.append(None)
-            lists = []
-            for values, pick in ((within, covered), (_signed(h), ~covered), (g, ~covered), (within, ~covered)):
-                offsets = np.concatenate([[0], np.cumsum(pick)])[bounds]
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[pick])))
+            offsets = np.concatenate([[0], np.cumsum(covered)])[bounds]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(within[covered]))]
+            lists += [pa.ListArray.from_arrays(per_doc, values) for values in (pa.array(_signed(h[row])), pa.array(g[row]), places)]
             out = [part.column("_id"), part.column("_tk"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *lists]
             yield from pa.table(out, names=["_id", "_tk", "_n", "_removed", "_kept", "_text", "_covered", "_h", "_g", "_at"]).to_batches(max_chunksize=1024)
 
@@ -207,19 +217,19 @@ def _dedup(docs: DataFrame, key: str, text: str, length: int, finish) -> DataFra
     rows = _keyed(docs, key, text)
 
     marks = stash(rows.select("_id", "_tk", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_md5")), "text-digests")
-    firsts = stash(marks.groupBy("_md5").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_md5", "_first"), "text-firsts")
-    copies = marks.join(firsts, "_md5").filter("_id > _first").select("_id", "_tk").distinct().withColumn("_copy", F.lit(True))
+    firsts = stash(marks.groupBy("_md5").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_md5", "_first"), "text-firsts", narrow=True)
+    copies = marks.join(firsts, "_md5").filter("_id > _first").select("_id", "_tk", F.lit(None).cast("array<int>").alias("_at"))
 
     by = W.partitionBy("_h")
     anchors = _anchors(rows, length).withColumns({"_a": F.min("_id").over(by), "_z": F.max("_id").over(by)})
-    shared = anchors.filter("_at >= 0 and (_done or _a < _z)").groupBy("_id").agg(F.collect_set("_at").alias("_seen"))
-
-    told = rows.join(copies, ["_id", "_tk"], "left").join(shared, "_id", "left")
-    open_rows = stash(_candidates(told.withColumn("_copy", F.coalesce("_copy", F.lit(False))), length, finish), "windows")
+    shared = anchors.filter("size(_at) > 0 and (_done or _a < _z)").select("_id", F.lit(None).cast("int").alias("_tk"), "_at")
+    told = copies.unionByName(shared).groupBy("_id").agg(F.collect_set("_tk").alias("_copies"), F.flatten(F.collect_list("_at")).alias("_seen"))
+    told = rows.join(told, "_id", "left").withColumn("_copy", F.coalesce(F.array_contains("_copies", F.col("_tk")), F.lit(False)))
+    open_rows = stash(_candidates(told, length, finish), "windows")
 
     windows = open_rows.filter(F.size("_h") > 0).select("_id", "_tk", F.explode(F.arrays_zip("_h", "_g", "_at")).alias("w")).select("_id", "_tk", "w._h", "w._g", "w._at")
     least = F.min("_id").over(W.partitionBy("_h", "_g"))
-    more = windows.withColumn("_least", least).filter("_id > _least").groupBy("_id", "_tk").agg(F.collect_set("_at").alias("_more"))
+    more = windows.withColumn("_least", least).filter("_id > _least").groupBy("_id", "_tk").agg(F.flatten(F.collect_list("_at")).alias("_more"))
     left = open_rows.filter("_kept is null").select("_id", "_tk", "_n", "_text", "_covered").join(more, ["_id", "_tk"], "left")
     ready = open_rows.filter("_kept is not null").select("_id", "_tk", "_n", "_removed", "_kept")
     return ready.unionByName(_finished(left, length, finish))
@@ -240,12 +250,12 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """docs with their texts without the repeated words (white space between kept words stays), and n_chars, if there is
     such a column, of the new texts. Documents of which nothing is left go."""
     found = _dedup(docs, key, text, length, _cut).filter("_removed > 0").select("_id", "_tk", "_n", "_removed", F.col("_kept").cast("string").alias("_new")).dropDuplicates(["_id", "_tk"])
-    names = docs.columns
     tk = F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).bitwiseAND(0x7FFFFFFF).cast("int")
-    joined = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_tk": tk}).join(found, ["_id", "_tk"], "left")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_id"), tk.alias("_tk"))
+    joined = packed.join(found, ["_id", "_tk"], "left")
     kept = joined.filter(F.col("_removed").isNull() | (F.col("_removed") < F.col("_n")))
     changed = F.col("_removed").isNotNull()
-    new = {text: F.when(changed, F.col("_new")).otherwise(F.col(text))}
-    if n_chars in names:
-        new[n_chars] = F.when(changed, F.length("_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    return kept.withColumns(new).select(*names)
+    new = {text: F.when(changed, F.col("_new")).otherwise(F.col("_row")[text])}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(changed, F.length("_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col("_row")[n_chars])
+    return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
