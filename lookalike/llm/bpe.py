@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_long, gathered, raw_strings, tune
+from .common import as_long, gathered, tune
 
 #: Text bytes that are pre-tokenised together. More find more equal pre-tokens and fuller buckets, and take more memory.
 BATCH_BYTES = 12 << 20

@@ -36,6 +36,8 @@ def frame(spark, rows):
         ("<ARTICLE>Upper<SCRIPT>x</SCRIPT></ARTICLE>", "Upper"),
         ("<article>a<a href='x>y'>l</a><", "al"),
         ("<header>site</header><article><header><h1>Own</h1></header>p</article>", "Own p"),
+        ("<article><p>a<p class='ad'>buy<p>b<ul><li class=share>s<li>c</ul><p style='display: none'>d<div>e</div></article>", "a b c e"),
+        ("<article>a <span class=ad>x <span>y</span> z</span> b</article>", "a b"),
         ("", ""),
     ],
 )
