@@ -4,8 +4,7 @@ Groups are rows (group_id, match_type, path) with the assets' columns; the neste
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signatures import distance, packed
@@ -59,7 +58,7 @@ def perceptual_links(candidates: DataFrame, threshold: int = DEFAULT_THRESHOLD,
     """id1, id2: paths that equal signatures link to the least one, and near signatures' representatives."""
     signatures = candidates.select(F.col("path").alias("id"), F.col("perceptual_hash").alias("signature"))
     reps, members = representatives(signatures, hash_bits)
-    reps, members = written(reps, "representatives"), written(members, "members")
+    members = written(members, "members")
     pairs = near_pairs(reps, threshold, hash_bits, use_index, target_recall).select("id1", "id2")
     return pairs.unionByName(members.filter("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2")))
 
@@ -88,10 +87,21 @@ def spread(groups: DataFrame, assets: DataFrame, hash_bits: int = HASH_BITS) ->
     return signed.join(centre, "group_id").groupBy("group_id").agg(F.max(d).alias("radius"))
 
 
+def first_of_groups(members: DataFrame, *order: Column) -> DataFrame:
+    """group_id and the path that comes first. Combined before it is shuffled: no group is sorted, however large."""
+    return members.groupBy("group_id").agg(F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], "path"))["path"].alias("first_path"))
+
+
+def descending(column: str) -> list[Column]:
+    """Greatest first, nulls last, as keys in ascending order."""
+    return [F.col(column).isNull(), -F.col(column)]
+
+
 def ranked(groups: DataFrame, assets: DataFrame) -> DataFrame:
-    """Members with their assets and rn: 1 is the best by score, of equal ones the least path."""
-    order = W.partitionBy("group_id").orderBy(F.col("quality_score").desc_nulls_last(), "path")
-    return groups.join(assets, "path").withColumn("rn", F.row_number().over(order))
+    """Members with their assets and rn: 1 for the best by score, of equal ones the least path, and 2 for the others."""
+    members = written(groups.join(assets, "path"), "members")
+    best = written(first_of_groups(members, *descending("quality_score")), "best", narrow=True)
+    return members.join(best, "group_id").withColumn("rn", F.when(F.col("path") == F.col("first_path"), 1).otherwise(2)).drop("first_path")
 
 
 def best_members(members: DataFrame) -> DataFrame:
@@ -115,8 +125,8 @@ def group_summary(members: DataFrame) -> DataFrame:
 def nested(members: DataFrame) -> DataFrame:
     """One row per group with its members as an array, the best first."""
     columns = [c for c in members.columns if c not in ("group_id", "match_type")]
-    images = F.array_sort(F.collect_list(F.struct("rn", *[c for c in columns if c != "rn"])))
-    rows = members.groupBy("group_id", "match_type").agg(images.alias("images"))
+    images = F.array_sort(F.collect_list(F.struct("rn", (-F.col("quality_score")).alias("_worse"), "path", *[c for c in columns if c not in ("rn", "path")])))
+    rows = members.groupBy("group_id", "match_type").agg(F.transform(images, lambda x: x.dropFields("_worse")).alias("images"))
     return rows.withColumns({"best_path": F.col("images")[0]["path"], "selected_keep": F.col("images")[0]["path"]})
 
 

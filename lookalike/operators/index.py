@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signatures import bucket_key, distance, packed, valid_hash
 from ..schema import DEFAULT_THRESHOLD, HASH_BITS, INDEX_LEAST, INDEX_SEED, INDEX_TIERS
+from ..storage import written
 
 
 def positions(tables: int, bits: int, hash_bits: int = HASH_BITS, seed: int = INDEX_SEED) -> list[list[int]]:
@@ -50,7 +51,7 @@ def representatives(signatures: DataFrame, hash_bits: int = HASH_BITS) -> tuple[
     """signatures: id, signature. One row per distinct valid signature under its least id (id, signature), and every id's
     representative (id, rep): equal signatures would share all buckets, and need no search."""
     valid = signatures.select("id", valid_hash("signature", hash_bits).alias("signature")).filter("signature is not null")
-    reps = valid.groupBy("signature").agg(F.min("id").alias("id")).select("id", "signature")
+    reps = written(valid.groupBy("signature").agg(F.min("id").alias("id")).select("id", "signature"), "representatives")
     members = valid.join(reps.select(F.col("id").alias("rep"), "signature"), "signature").select("id", "rep")
     return reps, members
 

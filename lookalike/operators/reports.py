@@ -107,8 +107,8 @@ def export_rows(members: DataFrame) -> DataFrame:
 
 def export_csv(members: DataFrame, path: str) -> None:
     """A folder of one CSV file, quoted by the usual rules (quotes within a field are doubled)."""
-    rows = export_rows(members).withColumn("quality_score", F.format_string("%.1f", F.bround("quality_score", 1)))
-    rows.repartitionByRange(1, "group_id", "rn").sortWithinPartitions("group_id", "rn").drop("rn").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows = export_rows(members).withColumn("score", F.col("quality_score")).withColumn("quality_score", F.format_string("%.1f", F.bround("quality_score", 1)))
+    rows.repartitionByRange(1, "group_id").sortWithinPartitions("group_id", "rn", F.col("score").desc_nulls_last(), "path").drop("rn", "score").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def text_lines(members: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def text_lines(members: DataFrame) -> DataFrame:
     own = number.groupBy("match_type").agg(F.min("group_id").alias("least"))
     rows = number.join(F.broadcast(own), "match_type").withColumn("g", F.col("group_id") - F.col("least") + 1)  # a row per match type
     heads = rows.filter("rn = 1").select(part.alias("part"), "g", F.lit(0).alias("line"), F.concat(F.lit("\nGroup "), F.col("g").cast("string"), F.lit(":")).alias("value"))
-    lines = rows.select(part.alias("part"), "g", F.col("rn").alias("line"), F.concat(marker, F.col("path")).alias("value"))
+    lines = rows.select(part.alias("part"), "g", F.col("rn").cast("int").alias("line"), F.concat(marker, F.col("path")).alias("value"))
     fixed = [(0, 0, 0, f"DUPLICATE IMAGE REPORT\n{'=' * 70}\n"), (1, 0, 0, f"EXACT DUPLICATES\n{rule}"), (2, 0, 0, f"\n\nPERCEPTUAL DUPLICATES\n{rule}")]
     titles = members.sparkSession.createDataFrame(fixed, "part int, g long, line int, value string")
     return titles.unionByName(heads).unionByName(lines)
@@ -156,7 +156,7 @@ def console(members: DataFrame, most_groups: int = 1000) -> str:
     shown = members.filter(F.col("group_id") <= members.agg(F.min("group_id")).first()[0] + most_groups - 1 if total["total_groups"] else F.lit(False))
     view = shown.select("match_type", "group_id", "rn", "path", "width", "height", human_size("file_size").alias("size"), F.bround("quality_score", 1).alias("score"))
     out, last = [], None
-    for r in view.orderBy("match_type", "group_id", "rn").collect():
+    for r in view.orderBy("match_type", "group_id", "rn", F.col("score").desc_nulls_last(), "path").collect():
         if r["group_id"] != last:
             out.append(f"\nGroup {r['group_id']} ({r['match_type']}):")
             last = r["group_id"]

@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .groups import descending, first_of_groups
+
 STRATEGIES = ("quality", "largest", "smallest", "newest", "oldest")
 
 
 def strategy_order(strategy: str) -> list[Column]:
-    """First is kept; of equal ones the least path. An unknown strategy is quality. A missing time is the earliest for
-    newest, and the latest for oldest."""
-    orders = {
-        "largest": F.col("file_size").desc_nulls_last(),
-        "smallest": F.col("file_size").asc_nulls_last(),
-        "newest": F.coalesce(F.col("mtime"), F.lit(0.0)).desc(),
-        "oldest": F.col("mtime").asc_nulls_last(),
-    }
-    return [orders.get(strategy, F.col("quality_score").desc_nulls_last()), F.col("path")]
+    """Keys in ascending order; the first is kept, of equal ones the least path. An unknown strategy is quality. A missing
+    time is the earliest for newest, and the latest for oldest."""
+    ascending = lambda c: [F.col(c).isNull(), F.col(c)]
+    orders = {"largest": descending("file_size"), "smallest": ascending("file_size"), "newest": [-F.coalesce(F.col("mtime"), F.lit(0.0))], "oldest": ascending("mtime")}
+    return orders.get(strategy) or descending("quality_score")
 
 
 def select(members: DataFrame, strategy: str = "quality") -> DataFrame:
     """path and decision (keep or delete). members: group_id, path and what the strategy orders by. The decision of a path
     in several groups is that of the group with the greatest id."""
-    rn = F.row_number().over(W.partitionBy("group_id").orderBy(*strategy_order(strategy)))
-    decided = members.withColumn("decision", F.when(rn == 1, "keep").otherwise("delete"))
+    kept = written(first_of_groups(members, *strategy_order(strategy)), "kept", narrow=True)
+    decided = members.join(kept, "group_id").withColumn("decision", F.when(F.col("path") == F.col("first_path"), "keep").otherwise("delete"))
     return decided.groupBy("path").agg(F.max(F.struct("group_id", "decision"))["decision"].alias("decision"))
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 def normal(frame):
     def value(x):
-        if x is None or x != x:
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return None
         return float(f"{x:.12g}") if isinstance(x, float) else x.item() if hasattr(x, "item") else x
 
