@@ -40,10 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
-    file = tokenizer_file()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), *file), *file)
-    same = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"), "ids")
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), *tokenizer_file(), decodes="decodes")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "decodes", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import as_long, gathered, tune
 
 #: Text bytes that are pre-tokenised together. More find more equal pre-tokens and fuller buckets, and take more memory.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 class Bitmap:
@@ -243,17 +243,25 @@ def _without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column ids (array<int>) instead of a column of that name."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decodes: str | None = None) -> DataFrame:
+    """df with a column ids (array<int>) instead of a column of that name. decodes: name of a column that says whether the
+    ids, decoded in the same pass, give the text's bytes."""
     tune(df.sparkSession)
-    kept = df.select(*_without(df, ids.lower()))
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    kept = df.select(*_without(df, ids.lower(), (decodes or ids).lower()))
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decodes:
+        fields.append(T.StructField(decodes, T.BooleanType(), False))
+    schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         for rows in gathered(batches, text, BATCH_BYTES):
-            got, off = tok.encode_batch(_texts(rows.column(text)))
+            texts = _texts(rows.column(text))
+            got, off = tok.encode_batch(texts)
             rows = rows.append_column(ids, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(got, pa.int32())))
+            if decodes:
+                tops = off.tolist()
+                rows = rows.append_column(decodes, pa.array([tok.decode(got[a:b]) == t.encode() for a, b, t in zip(tops, tops[1:], texts)]))
             yield from rows.combine_chunks().to_batches(max_chunksize=1024)
 
     return kept.mapInArrow(run, schema)

@@ -324,7 +324,8 @@ def test_token_columns(spark, library):
     rows = odd_rows()
     docs = frame(spark, rows)
     file = queries.tokenizer_file()
-    got = bpe.decode(bpe.encode(docs, *file), *file).collect()
+    got = bpe.decode(bpe.encode(docs, *file, decodes="score"), *file).collect()
+    assert all(r["score"] is True for r in got)
     assert all(r["ids"] == library.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() for r in got) and len(got) == len(rows)
     want = collections.Counter()
     for i, t, _ in rows:
