@@ -239,7 +239,8 @@ def vector_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash("text").alias("signature"))
+    """Written down, as a filter on a Python column would have it made twice."""
+    return written(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash("text").alias("signature")), "signatures")
 
 
 @query(f"select id, {_HEX.format(n=16)} signature from vectors", "vectors")
@@ -305,7 +306,7 @@ def q_signature_classes(spark, sf_dir):
 @query("select distinct a.id query_id, b.id id from buckets a join buckets b on a.table_id = b.table_id and a.bucket_key = b.bucket_key and a.id <> b.id where a.id % 100 = 0", "sims", "buckets")
 def q_index_candidates(spark, sf_dir):
     """The search takes as queries the ids that 100 divides, against all rows."""
-    rows = written(text_signatures(spark, sf_dir), "signatures")
+    rows = text_signatures(spark, sf_dir)
     return index.candidates_of(rows.filter("id % 100 = 0"), rows, _TABLES, _BITS)
 
 

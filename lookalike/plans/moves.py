@@ -11,6 +11,7 @@ from ..functions.scalars import (
     sanitized, shortened, stem, suffix, under,
 )
 from ..schema import CONVERTIBLE_EXTENSIONS, SORTABLE_EXTENSIONS
+from ..storage import written
 from .names import reserved
 
 
@@ -77,9 +78,13 @@ def rename_by_parent(files: DataFrame, root: str) -> DataFrame:
     nested = rows.groupBy(top.alias("_top")).agg(F.max(F.size("_parts")).alias("_deep"))
     rows = rows.withColumn("_top", top).join(nested, "_top").filter((F.size("_parts") == 2) | ((F.size("_parts") == 1) & (F.col("_deep") == 1)))
     index = F.row_number().over(W.partitionBy("_below").orderBy(filename("path")))
-    sub = F.when(F.size("_parts") == 2, sanitized(F.col("_parts")[F.size("_parts") - 1]))
-    name = F.when(sub.isNull(), parent_name(F.lit(""), sanitized("_top"), index, suffix(filename("path")))).otherwise(parent_name(sanitized("_top"), sub, index, suffix(filename("path"))))
-    rows = rows.select(F.col("path").alias("src"), shortened(_joined(directory("path"), name)).alias("dest"))
+    # a column for each step, as an expression that is used in another several times grows with the power of the steps
+    rows = rows.withColumns({"_index": index, "_name": filename("path"), "_sub": F.when(F.size("_parts") == 2, F.element_at("_parts", -1)).otherwise("")})
+    rows = rows.withColumns({"_safe": sanitized("_top"), "_safe_sub": sanitized("_sub"), "_suffix": suffix("_name")})
+    nested_name = parent_name(F.col("_safe"), F.col("_safe_sub"), F.col("_index"), F.col("_suffix"))
+    name = F.when(F.col("_sub") == "", parent_name(F.lit(""), F.col("_safe"), F.col("_index"), F.col("_suffix"))).otherwise(nested_name)
+    rows = rows.withColumn("_dest", _joined(directory("path"), name))
+    rows = written(rows.select(F.col("path").alias("src"), "_dest"), "renames").select("src", shortened("_dest").alias("dest"))
     bad = rows.filter("dest is null").select(*planned("rename", F.col("src"), F.lit(None), F.lit("path too long"), F.lit("error")))
     same = rows.filter("dest = src").select(*planned("rename", F.col("src"), F.col("dest"), F.lit("already named so"), F.lit("skipped")))
     moving = rows.filter("dest <> src")
