@@ -108,6 +108,36 @@ with p as (
 select p.page_id, p.payload_bytes, p.payload_digest, case when top > page_id then 'revisit' else 'response' end record_type,
   case when top > page_id then top end refers_to
 from p left join f on p.payload_digest = f.payload_digest and p.payload_bytes = f.payload_bytes""",
+    "op3_tensored_minhash": rf"""
+with recursive split as (
+  select cast(doc_id as bigint) doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') words from documents
+), shingle as (
+  select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end) s from split
+), size as (select doc_id, count(*) n from shingle group by doc_id),
+shared as (select a.doc_id x, b.doc_id y, count(*) k from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from shared join size a on a.doc_id = x join size b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+both_ways as (select x, y from link union all select y, x from link),
+reach(node, label) as (select x, x from both_ways union select b.y, r.label from reach r join both_ways b on r.node = b.x),
+least as (select node, min(label) label from reach group by node)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(label, d.doc_id) component_id, coalesce(label, d.doc_id) = d.doc_id kept
+from split d left join size s on s.doc_id = d.doc_id left join least l on l.node = d.doc_id""",
+    "op7_level_doubling": r"""
+with split as (
+  select cast(doc_id as bigint) doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words from documents
+), starts as (
+  select doc_id, unnest(range(1, len(words) - 48)) k, unnest(list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' ')))) h
+  from split where len(words) >= 50
+), covered as (select doc_id, k from (select doc_id, k, min(doc_id) over (partition by h) first from starts) where first < doc_id),
+word as (select doc_id, unnest(range(1, len(words) + 1)) k, unnest(words) w from split),
+marked as (
+  select w.doc_id, w.k, w.w, count(c.k) over (partition by w.doc_id order by w.k rows between 49 preceding and current row) > 0 gone
+  from word w left join covered c on c.doc_id = w.doc_id and c.k = w.k
+), counted as (
+  select doc_id, count(*) n_words, count(*) filter (gone) n_removed, coalesce(string_agg(w, ' ' order by k) filter (not gone), '') kept from marked group by doc_id
+)
+select s.doc_id, coalesce(n_words, 0)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+from split s left join counted c on c.doc_id = s.doc_id""",
     "op8_weighted_mix": r"""
 with docs as (
   select cast(doc_id as bigint) doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size,
