@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that is linked by a similarity of 0.8 or more."""
-    return minhash.keep_one(docs, percent=80)
+    """The document with the least id of each group that is linked by a similarity of 0.8 or more; each row is judged by its text."""
+    return minhash.keep_one_row(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

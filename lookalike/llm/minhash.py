@@ -6,16 +6,16 @@ PARTS * PARTS tables: the key of table (i, j) is the pair of the i-th key of one
 (1 - (1 - s**ROWS)**PARTS)**2: 0.9999992 at 0.85, 0.99995 at 0.8.
 
 A table's bucket has two documents only if the first collection's key has, so keys that one document alone has are dropped
-before the tables are formed. Equal sets are one document, the one with the least id, from the start.
+before the tables are formed. Equal sets are one node from the start; its name is the number of a row, as ids may be null
+or repeat.
 
 The buckets' documents are linked to the least of each bucket and give clusters, within which the true links lie. A cluster
-is cut into blocks of some BLOCK documents by a hash of the id, and a task gets two blocks: it compares short sketches of
+is cut into blocks of some BLOCK documents by a hash of the node, and a task gets two blocks: it compares short sketches of
 all pairs, then the full sets of those that may reach the similarity and aren't joined by others already, and returns a
 spanning forest of the links. No list of pairs is ever made, and the hot group of near copies is many tasks.
 
 Defined cases: null and empty texts are empty sets, linked with nothing; fewer words than a shingle has are one shingle;
-a null id counts as the greatest and stays null; rows of one id are judged by their texts, and different texts with the
-same least id count as linked.
+a null id counts as the greatest and stays null; rows of one id, or of none, are judged by their texts alone.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -63,12 +63,16 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _order(key: str):
-    return F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_id")
+def _order(key: str | Column):
+    return F.coalesce((F.col(key) if isinstance(key, str) else key).cast("long"), F.lit(_LAST)).alias("_id")
+
+
+def _digest(text: str | Column):
+    return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))).alias("_key")
 
 
 def _signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """_id, _n (size of the set), _set (its digest), and the two collections' keys."""
+    """_id, _key (digest of the text), _n (size of the set), _set (its digest), and the two collections' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, "_text", BATCH_BYTES):
@@ -81,13 +85,13 @@ def _signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             keys = band_keys(sig)
             offsets = pa.array(np.arange(rows.num_rows + 1) * PARTS, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(k).ravel())) for k in (keys[:, :PARTS], keys[:, PARTS:])]
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), *lists], ["_id", "_n", "_set", "_a", "_b"])
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_key"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), *lists], ["_id", "_key", "_n", "_set", "_a", "_b"])
 
-    return docs.select(_order(key), F.col(text).alias("_text")).mapInArrow(run, "_id long, _n long, _set string, _a array<long>, _b array<long>")
+    return docs.select(_order(key), _digest(text), F.col(text).alias("_text")).mapInArrow(run, "_id long, _key string, _n long, _set string, _a array<long>, _b array<long>")
 
 
 def clusters(reps: DataFrame) -> DataFrame:
-    """node and component of the documents (_id, _a, _b) that share a table's bucket with another."""
+    """node and component of the sets (_id, _a, _b) that share a table's bucket with another."""
     keys = reps.select("_id", F.explode("_a").alias("_a"))
     shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys", narrow=True)
     few = keys.join(shared, "_a").groupBy("_id").agg(F.collect_set("_a").alias("_a"))
@@ -159,11 +163,14 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(docs: DataFrame, members: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """a and b: links that span what is connected within each cluster (members: node, component)."""
+def links(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """a and b: links that span what is connected within each cluster (members: node, component; reps: _node, and the _id
+    and _key of a row that has its text)."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").select(F.col("node").alias("_id"), F.col("component").alias("_cluster"), "_blocks")
-    rows = docs.select(_order(key), F.col(text).alias("_text")).join(stash(sized, "members", narrow=True), "_id")
+    sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").join(reps.select("_node", "_id", "_key"), F.col("node") == F.col("_node"))
+    sized = stash(sized.select("_id", "_key", "_node", F.col("component").alias("_cluster"), "_blocks"), "members", narrow=True)
+    rows = docs.select(_order(key), _digest(text), F.col(text).alias("_text")).join(sized, ["_id", "_key"])
+    rows = rows.groupBy(F.col("_node").alias("_id"), "_cluster", "_blocks").agg(F.first("_text").alias("_text"))  # a row may be there twice
     sets = _sets(rows, size)
     paired = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     paired = paired.select("_id", "_cluster", "_block", "_items", "_sketch", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
@@ -182,22 +189,44 @@ def links(docs: DataFrame, members: DataFrame, key: str, text: str, size: int, p
     return paired.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE) -> DataFrame:
-    """A row per document: key, n_shingles, component_id (least id that links lead to) and kept (that is its own).
-    percent: similarity of linked sets, 80 or more."""
+def _judged(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
+    """A row per document: _id, _key, _n, and _best, the least _id and _key of its group (null: an empty set)."""
     tune(docs.sparkSession)
-    signed = stash(_signed(docs, key, text, size), "signatures")
-    firsts = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_first")), "sets", narrow=True)
-    reps = signed.join(firsts, "_set").filter("_id = _first").select("_id", "_a", "_b")
-    near = connected_components(links(docs, clusters(stash(reps, "representatives")), key, text, size, percent), "a", "b")
-    rows = signed.select("_id", "_n", "_set").join(firsts, "_set", "left").withColumn("_first", F.coalesce("_first", "_id"))
-    rows = rows.join(near, rows["_first"] == near["node"], "left").withColumn("_component", F.coalesce("component", "_first"))
+    signed = stash(_signed(docs, key, text, size).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    nodes = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_row").alias("_node")), "sets", narrow=True)
+    reps = stash(signed.join(nodes, "_set").filter("_row = _node").select("_node", "_id", "_key", "_a", "_b"), "representatives")
+    members = clusters(reps.select(F.col("_node").alias("_id"), "_a", "_b"))
+    near = connected_components(links(docs, members, reps, key, text, size, percent), "a", "b")
+    groups = nodes.join(near, nodes["_node"] == near["node"], "left").select("_set", F.coalesce("component", "_node").alias("_group"))
+    rows = stash(signed.select("_id", "_key", "_n", "_set").join(groups, "_set", "left").drop("_set"), "grouped", narrow=True)
+    best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("_best"))
+    return rows.join(stash(best, "best", narrow=True), "_group", "left").drop("_group")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE) -> DataFrame:
+    """A row per document: key, n_shingles, component_id (least id that links lead to) and kept (that is its own; of texts
+    without an id, one in each group of them). percent: similarity of linked sets, 80 or more."""
+    rows = _judged(docs, key, text, percent, size).withColumn("_component", F.coalesce("_best._id", "_id"))
     null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return rows.select(null("_id").alias(key), F.col("_n").alias("n_shingles"), null("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))
+    one = (F.col("_id") != _LAST) | F.coalesce(F.col("_key") == F.col("_best._key"), F.lit(True))
+    return rows.select(null("_id").alias(key), F.col("_n").alias("n_shingles"), null("_component").alias("component_id"), ((F.col("_id") == F.col("_component")) & one).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the least id; all
-    rows of an id stay or go together."""
+    rows of an id, and all without one, stay or go together. keep_one_row judges each row by its own text."""
     found = near_duplicates(docs, key, text, percent, size).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(found, docs[key].cast("long").eqNullSafe(found["_gone"]), "left_anti")
+
+
+def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
+    """docs with one row of each group of near duplicates, one with the least id; rows without words all stay. Ids may be
+    null or repeat: they choose the row that stays, and nothing else."""
+    rows = _judged(docs, key, text, percent, size).filter("_best is not null")
+    found = rows.groupBy(F.col("_id").alias("_at"), F.col("_key").alias("_of")).agg(F.count("*").alias("_rows"), F.min(F.col("_best._id")).alias("_least"), F.min(F.col("_best._key")).alias("_least_key"))
+    found = found.withColumn("_stays", (F.col("_at") == F.col("_least")) & (F.col("_of") == F.col("_least_key")))
+    found = stash(found.filter("not _stays or _rows > 1").select("_at", "_of", "_stays"), "not-kept", narrow=True)
+    same = (_order(docs[key]) == F.col("_at")) & (_digest(docs[text]) == F.col("_of"))
+    once = docs.join(found, same, "left_anti")
+    several = docs.select("*").join(found.filter("_stays"), same).groupBy("_at", "_of").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_doc"))
+    return once.unionByName(several.select(*[F.col("_doc")[c].alias(c) for c in docs.columns]))

@@ -123,6 +123,25 @@ def test_keep_one(spark):
     assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {i for i, _, _ in rows} - want
 
 
+def test_rows_without_an_id_are_judged_by_their_texts(spark):
+    """A near copy goes, and takes no unrelated row of its id (or of none) with it; one row of each group stays."""
+    rng = random.Random(5)
+    texts = [" ".join(f"t{k}-{rng.randrange(10**6)}" for _ in range(100)) for k in range(6)]
+    near = [t + " more" for t in texts]
+    rows = [(1, texts[0], "s"), (None, near[0], "s"), (None, texts[1], "s"), (None, "", "s"), (None, None, "s")]  # a near copy without an id
+    rows += [(None, texts[2], "a"), (None, near[2], "b"), (None, texts[2].upper(), "c"), (None, texts[2], "d")]  # near and exact copies, no id at all
+    rows += [(2, texts[3], "s"), (5, near[3], "s"), (5, texts[4], "s"), (5, "", "s"), (7, texts[5], "s"), (7, texts[5], "s")]  # repeated ids
+    docs = frame(spark, rows)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near(spark, docs.repartition(3), SMALL).collect())
+    of_two = [x for x in got if x[1] and x[1].lower().startswith("t2-")]
+    want = [(1, texts[0]), (None, texts[1]), (None, ""), (None, None), (2, texts[3]), (5, texts[4]), (5, ""), (7, texts[5])]
+    assert len(of_two) == 1 and of_two[0] in [(None, texts[2]), (None, near[2]), (None, texts[2].upper())]
+    assert got == collections.Counter([*want, *of_two])
+    found = minhash.near_duplicates(docs, percent=80).collect()
+    assert len(found) == len(rows) and all(r["component_id"] is None or r["component_id"] <= (r["doc_id"] or 2**63) for r in found)
+    assert sorted((r["component_id"], r["kept"]) for r in found if r["doc_id"] == 5) == [(2, False), (5, True), (5, True)]
+
+
 # Substring dedup
 
 
