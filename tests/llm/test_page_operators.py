@@ -73,6 +73,16 @@ def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark):
     assert html.extract(frame(spark, rows).limit(0)).collect() == []
 
 
+def body_of(k):
+    return " ".join(f"u{k}x{j}" for j in range(30))
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(k, f"http://c.org/{k % 5}", f"<body><div>{body_of(0)}</div></body>") for k in range(9)] + [(20, "http://c.org/q", f"<body><div>{body_of(1)}</div></body>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows).repartition(3)).collect()}
+    assert got == {**{k: body_of(0) for k in range(9)}, 20: body_of(1)}
+
+
 # URL filters
 
 
