@@ -83,6 +83,13 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert got == {**{k: body_of(0) for k in range(9)}, 20: body_of(1)}
 
 
+def test_a_notice_goes_however_large_the_host_is(spark):
+    notice = "<div>this notice is on few pages of the host</div>"
+    rows = [(k, f"http://d.org/{k}", f"<body>{notice if k < 4 else ''}<div>{body_of(k)}</div></body>") for k in range(60)]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows).repartition(3)).collect()}
+    assert got == {k: body_of(k) for k in range(60)}
+
+
 # URL filters
 
 
