@@ -90,6 +90,12 @@ def test_a_notice_goes_however_large_the_host_is(spark):
     assert got == {k: body_of(k) for k in range(60)}
 
 
+def test_blocks_that_mix_repeats_and_own_words(spark):
+    rows = [(k, f"http://e.org/{k}", f"<body><div>subscribe to our weekly letter now own{k} a{k} b{k}</div><div>{body_of(k)} read more of our stories here today</div></body>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows).repartition(3)).collect()}
+    assert got == {k: f"own{k} a{k} b{k} {body_of(k)}" for k in range(6)}
+
+
 # URL filters
 
 
