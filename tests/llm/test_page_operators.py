@@ -46,6 +46,12 @@ def test_articles(source, text):
     assert page.text().rstrip("<").strip() == text
 
 
+def test_names_of_an_article_do_not_mark_it():
+    assert html.parse("<article class='post tag-social' id='category-notices'>own</article>").text() == "own"
+    assert html.parse("<div role=main class='has-menu page-nav'>own</div>").text() == "own"
+    assert not html.parse("<article class='comment'>reply</article>").has_article
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     tokens = rng.integers(0, 3, 300).astype(np.uint64)
