@@ -52,6 +52,12 @@ def test_names_of_an_article_do_not_mark_it():
     assert not html.parse("<article class='comment'>reply</article>").has_article
 
 
+@pytest.mark.parametrize("name", ["svg", "math", "object", "canvas"])
+def test_open_elements_end_with_the_one_around_them(name):
+    assert html.parse(f"<article><p>a</p><div><{name}>x</div><p>b</p></article>").text() == "a b"
+    assert html.parse(f"<article>a<{name}>x</{name}>b</article>").text() == "a b"
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     tokens = rng.integers(0, 3, 300).astype(np.uint64)
