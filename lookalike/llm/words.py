@@ -27,6 +27,11 @@ _byte_value = _random.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint6
 _byte_value_lower = _byte_value[_lower]
 
 
+def is_separator(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space between words."""
+    return _separator[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values."""
     x = x ^ (x >> np.uint64(33))

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and their defined cases."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -279,6 +280,70 @@ def test_next_across_blocks(spark):
         assert got[i * 2] == hashlib.sha256((t[: n - n // 2] + after[: n // 2]).encode()).hexdigest()
 
 
+@functools.cache
+def slow_values(word, n, samples):
+    """Of one term and weight, sample by sample, the tables' values drawn as the module says."""
+    h = int(words.word_hashes(words.split(pa.array([word])))[0])
+    out = []
+    for k in range(samples):
+        x = int(words.mix(np.array([(h + k * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
+        i, j, b, c = (x >> s & 0xFFFF for s in (0, 16, 32, 48))
+        r, rest = sampling._exponential[i] + sampling._exponential[j], sampling._one_less_b[b]
+        value = sampling._log_gamma[c] - r * rest
+        out.append(value - r * np.floor(np.float32(round(np.log(n) * 2**20) / 2**20) / r + (1 - rest)) if n > 1 else value)
+    return out
+
+
+def slow_signature(text, samples=128):
+    counts = collections.Counter(WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text)))
+    return sampling._samples(np.array([slow_values(w, n, samples) for w, n in counts.items()] or [[np.inf] * samples], np.float32).min(axis=0)[None])[0]
+
+
+def test_tables_are_the_distributions():
+    rng = np.random.default_rng(1)
+    one, other = (sampling._exponential[rng.integers(0, 1 << 16, 200000)] for _ in range(2))
+    gamma = np.sort(rng.gamma(2, 1, 200000))
+    assert np.abs(np.sort(one + other) - gamma)[:198000].max() < 0.12
+    assert np.abs(np.exp(sampling._log_gamma) - np.quantile(gamma, sampling._u))[:64000].max() < 0.12
+    assert (np.diff(sampling._log_gamma) >= 0).all() and sampling._exponential.min() > 0
+
+
+def test_fingerprints_against_brute_force(spark):
+    rows = odd_rows()
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] is not None, (r[1] or "").encode()))
+    want = collections.Counter()
+    for k, (i, t, _) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t)
+        own, edited, following = (slow_signature(x) for x in (t, t[: n - n // 2] + after[: n // 2], after))
+        want[i, sampling.text_form(own), sampling.text_form(edited), float((own == edited).mean()), float((own == following).mean())] += 1
+    got = sampling.compare_with_next(frame(spark, rows).repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got) == want
+
+
+def test_texts_in_slices(monkeypatch):
+    """A text cut into slices, and terms drawn in parts, give the same samples; a word is never cut."""
+    texts = pa.array([" ".join(f"w{k % 700}" for k in range(3000)), None, "x" * 9000 + " y " + "z" * 5000, "w1 w2", ""])
+    want = sampling.signatures(texts)
+    monkeypatch.setattr(sampling, "SLICE_BYTES", 500)
+    monkeypatch.setattr(sampling, "TERMS", 64)
+    assert (sampling.signatures(texts) == want).all()
+
+
+def test_many_rows_of_one_id_are_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 32)
+    rows = [(None, f"text {i * 7919 % 1000}", "s") for i in range(700)] + [(5, f"five {i}", "s") for i in range(300)] + [(i, f"own {i}", "s") for i in range(100)] + [(None, "same", "s")] * 40
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1].encode()))
+    want = collections.Counter()
+    for k, (i, t, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    docs = frame(spark, rows).repartition(5)
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in sampling.compare_with_next(docs).collect()) == want
+    sizes = [r["count"] for r in sampling.with_next(docs, "doc_id", "text").groupBy("_block").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 400
+
+
 # Byte-level BPE
 
 
