@@ -10,9 +10,13 @@ before the tables are formed. Equal sets are one node from the start; its name i
 or repeat.
 
 The buckets' documents are linked to the least of each bucket and give clusters, within which the true links lie. A cluster
-is cut into blocks of some BLOCK documents by a hash of the node, and a task gets two blocks: it compares short sketches of
-all pairs, then the full sets of those that may reach the similarity and aren't joined by others already, and returns a
-spanning forest of the links. No list of pairs is ever made, and the hot group of near copies is many tasks.
+is cut into blocks of some BLOCK documents by a hash of the node, and some HUBS of its documents are sent to every block. A
+block's task finds a spanning forest of the links among its documents and the hubs: it compares short sketches of all pairs,
+then the full sets of those that may reach the similarity and aren't joined by others already. Near copies of one text are
+joined through the hubs by now. What is not part of a cluster's largest component, the rest, then meets every block once,
+in blocks of its own, so that each pair that is not joined yet is compared: a cluster of n documents with a rest of r ships
+some n + n / BLOCK * r sets. Nothing is left out: the work grows with the square of a cluster only if most of it is not alike.
+No list of pairs is ever made, and the hot group of near copies is many tasks.
 
 Defined cases: null and empty texts are empty sets, linked with nothing; fewer words than a shingle has are one shingle;
 a null id counts as the greatest and stays null; rows of one id, or of none, are judged by their texts alone.
@@ -35,7 +39,9 @@ from .words import mix, shingles, split
 SHINGLE = 5
 PARTS = 20
 ROWS = 4
-BLOCK = 256
+BLOCK = 64
+#: Documents that meet all blocks of their cluster, about.
+HUBS = 12
 BATCH_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 
@@ -101,8 +107,12 @@ def clusters(reps: DataFrame) -> DataFrame:
     return connected_components(tables.join(hubs, "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct(), "a", "b")
 
 
+def _block_of(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
+
+
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows: _id, _text, _cluster, _blocks. Adds the sorted set, the minhashes' low bytes, and the block."""
+    """rows: _id, _text, _cluster, _blocks. Adds the sorted set, the minhashes' low bytes, the block, and _hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", BATCH_BYTES):
@@ -110,27 +120,31 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
             for s in shingles(split(part.column("_text")), size):
                 items.append(s.tobytes())
                 sketch.append(minhashes(s).astype(np.uint8).tobytes() if len(s) else bytes(_hashes))
-            blocks = part.column("_blocks").to_numpy().astype(np.uint64)
-            block = (mix(part.column("_id").to_numpy().view(np.uint64)) % blocks).astype(np.int32)
+            ids = part.column("_id").to_numpy()
+            block = _block_of(ids, part.column("_blocks").to_numpy())
+            hub = (block == 0) & (mix(~ids.view(np.uint64)) % np.uint64(BLOCK) < np.uint64(HUBS))
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), part.column("_cluster"), part.column("_blocks"), pa.array(block), pa.array(items, pa.binary()), pa.array(sketch, pa.binary())],
-                ["_id", "_cluster", "_blocks", "_block", "_items", "_sketch"],
+                [part.column("_id"), part.column("_cluster"), part.column("_blocks"), pa.array(block), pa.array(hub), pa.array(items, pa.binary()), pa.array(sketch, pa.binary())],
+                ["_id", "_cluster", "_blocks", "_block", "_hub", "_items", "_sketch"],
             )
 
-    return rows.select("_id", "_text", "_cluster", "_blocks").mapInArrow(run, "_id long, _cluster long, _blocks int, _block int, _items binary, _sketch binary")
+    return rows.select("_id", "_text", "_cluster", "_blocks").mapInArrow(run, "_id long, _cluster long, _blocks int, _block int, _hub boolean, _items binary, _sketch binary")
 
 
-def forest(ids: np.ndarray, blocks: np.ndarray, items: list[bytes], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Spanning links between documents of the two blocks, or within the one block, whose sets reach the similarity."""
-    order = np.argsort(blocks, kind="stable")
-    ids, blocks = ids[order], blocks[order]
+def forest(ids: np.ndarray, visits: np.ndarray, items: list[bytes], sketches: list[bytes], percent: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links between documents whose sets reach the similarity: between those that visit and those that don't, or
+    among all if none does. With groups, of what is joined already, the links are between groups."""
+    order = np.argsort(visits, kind="stable")
+    ids, visits = ids[order], visits[order]
+    names = ids if groups is None else groups[order]
     sets = [np.frombuffer(items[i], np.uint64) for i in order.tolist()]
     size = np.array([len(s) for s in sets])
     sketch = np.frombuffer(b"".join(sketches[i] for i in order.tolist()), np.uint8).reshape(len(sets), _hashes)
-    second = int(np.searchsorted(blocks, blocks[0], "right"))
-    alone = second == len(ids)
+    own = int(np.searchsorted(visits, True))
+    alone = own == len(ids)
     least = int(_hashes * (percent / 100 - 0.15))
-    root = list(range(len(ids)))
+    root = np.unique(names, return_index=True, return_inverse=True)
+    root = root[1][root[2]].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -139,8 +153,8 @@ def forest(ids: np.ndarray, blocks: np.ndarray, items: list[bytes], sketches: li
         return x
 
     found = []
-    for i in range(len(ids) if alone else second):
-        start = i + 1 if alone else second
+    for i in range(own):
+        start = i + 1 if alone else own
         near = np.flatnonzero(((sketch[start:] == sketch[i]).sum(axis=1) >= least) & (100 * np.minimum(size[start:], size[i]) >= percent * np.maximum(size[start:], size[i]))) + start
         for j in near.tolist():
             x, y = find(i), find(j)
@@ -150,7 +164,7 @@ def forest(ids: np.ndarray, blocks: np.ndarray, items: list[bytes], sketches: li
             union = len(np.union1d(sets[i], sets[j])) if both < 64 else both - _common(sets[i], sets[j])
             if 100 * (both - union) >= percent * union:
                 root[max(x, y)] = min(x, y)
-                found.append((int(ids[i]), int(ids[j])))
+                found.append((int(names[i]), int(names[j])))
     return found
 
 
@@ -163,30 +177,51 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """a and b: links that span what is connected within each cluster (members: node, component; reps: _node, and the _id
-    and _key of a row that has its text)."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").join(reps.select("_node", "_id", "_key"), F.col("node") == F.col("_node"))
-    sized = stash(sized.select("_id", "_key", "_node", F.col("component").alias("_cluster"), "_blocks"), "members", narrow=True)
-    rows = docs.select(_order(key), _digest(text), F.col(text).alias("_text")).join(sized, ["_id", "_key"])
-    rows = rows.groupBy(F.col("_node").alias("_id"), "_cluster", "_blocks").agg(F.first("_text").alias("_text"))  # a row may be there twice
-    sets = _sets(rows, size)
-    paired = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    paired = paired.select("_id", "_cluster", "_block", "_items", "_sketch", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+def _linked(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """a and b: forests of the groups by keys, each of them a few blocks at most. dealt: _id, _visits, _items, _sketch, and
+    _group, if links are between groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in runs(batches, ["_cluster", "_i", "_j"]):
-            blocks = group.column("_block").to_numpy()
-            if group.num_rows < 2 or i != j and blocks.min() == blocks.max():
+        for _, group in runs(batches, keys):
+            visits = group.column("_visits").to_numpy()
+            names = group.column("_group").to_numpy() if "_group" in group.column_names else None
+            if len(visits) < 2 or names is not None and visits.all() == visits.any():
                 continue
-            found = forest(group.column("_id").to_numpy(), blocks, group.column("_items").to_pylist(), group.column("_sketch").to_pylist(), percent)
+            found = forest(group.column("_id").to_numpy(), visits, group.column("_items").to_pylist(), group.column("_sketch").to_pylist(), percent, names)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_cluster", "_i", "_j"]
-    return paired.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def joined(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is connected within each cluster (members: node, component; reps: _node, and the _id and _key of a row that has
+    its text): node and component of what blocks and hubs join, and of these components that the rest joins."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").join(reps.select("_node", "_id", "_key"), F.col("node") == F.col("_node"))
+    sized = stash(sized.select("_id", "_key", "_node", F.col("component").alias("_cluster"), "_blocks"), "members", narrow=True)
+    rows = docs.select(_order(key), _digest(text), F.col(text).alias("_text")).join(sized, ["_id", "_key"])
+    rows = rows.groupBy(F.col("_node").alias("_id"), "_cluster", "_blocks").agg(F.first("_text").alias("_text"))  # a row may be there twice
+    sets = stash(_sets(rows, size), "shingle-sets")
+    slim = [F.col(c) for c in ("_id", "_cluster", "_items", "_sketch")]
+
+    to = F.when(F.col("_hub"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_block"))
+    dealt = sets.select(*slim, F.lit(False).alias("_visits"), F.explode(to).alias("_i"))
+    near = connected_components(_linked(dealt, ["_cluster", "_i"], percent), "a", "b")
+
+    many = sized.filter("_blocks > 1").select(F.col("_node").alias("_id"), "_cluster", "_blocks")
+    many = many.join(near, F.col("_id") == F.col("node"), "left").select("_id", "_cluster", "_blocks", F.coalesce("component", "_id").alias("_group"))
+    many = stash(many, "joined", narrow=True)
+    counts = many.groupBy("_cluster", "_blocks", "_group").agg(F.count("*").alias("_n"))
+    counts = counts.groupBy("_cluster", "_blocks").agg(F.max(F.struct("_n", "_group"))["_group"].alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    counts = counts.filter("_all > _most").select("_cluster", "_largest", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_parts"))
+    rest = stash(many.join(stash(counts, "rests", narrow=True), "_cluster").select("_id", "_cluster", "_group", (F.col("_group") != F.col("_largest")).alias("_rest"), "_parts"), "rest", narrow=True)
+    both = sets.filter("_blocks > 1").join(rest, ["_id", "_cluster"])
+    here = both.select(*slim, "_group", F.lit(False).alias("_visits"), F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_j"))
+    part = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
+    there = both.filter("_rest").select(*slim, "_group", F.lit(True).alias("_visits"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"), part.alias("_j"))
+    return near, connected_components(_linked(here.unionByName(there), ["_cluster", "_i", "_j"], percent), "a", "b")
 
 
 def _judged(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
@@ -196,8 +231,9 @@ def _judged(docs: DataFrame, key: str, text: str, percent: int, size: int) -> Da
     nodes = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_row").alias("_node")), "sets", narrow=True)
     reps = stash(signed.join(nodes, "_set").filter("_row = _node").select("_node", "_id", "_key", "_a", "_b"), "representatives")
     members = clusters(reps.select(F.col("_node").alias("_id"), "_a", "_b"))
-    near = connected_components(links(docs, members, reps, key, text, size, percent), "a", "b")
-    groups = nodes.join(near, nodes["_node"] == near["node"], "left").select("_set", F.coalesce("component", "_node").alias("_group"))
+    near, further = joined(docs, members, reps, key, text, size, percent)
+    groups = nodes.join(near, nodes["_node"] == near["node"], "left").select("_set", F.coalesce("component", "_node").alias("_near"))
+    groups = groups.join(further, F.col("_near") == F.col("node"), "left").select("_set", F.coalesce("component", "_near").alias("_group"))
     rows = stash(signed.select("_id", "_key", "_n", "_set").join(groups, "_set", "left").drop("_set"), "grouped", narrow=True)
     best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("_best"))
     return rows.join(stash(best, "best", narrow=True), "_group", "left").drop("_group")
@@ -213,13 +249,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the least id; all
-    rows of an id, and all without one, stay or go together. keep_one_row judges each row by its own text."""
-    found = near_duplicates(docs, key, text, percent, size).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(found, docs[key].cast("long").eqNullSafe(found["_gone"]), "left_anti")
-
-
-def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """docs with one row of each group of near duplicates, one with the least id; rows without words all stay. Ids may be
     null or repeat: they choose the row that stays, and nothing else."""
     rows = _judged(docs, key, text, percent, size).filter("_best is not null")

@@ -117,11 +117,31 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_keep_one(spark):
-    rows = odd_rows()
-    want = {i for (i, _, _, kept), _ in brute_components(rows, 80).items() if not kept}
-    docs = frame(spark, rows)
+    """Rows are judged by their texts: no unique text is lost with an id, equal rows leave one."""
+    rng = random.Random(6)
+    texts = [" ".join(f"t{k}-{rng.randrange(10**6)}" for _ in range(100)) for k in range(5)]
+    rows = [(1, texts[0], "s"), (None, texts[0] + " more", "s"), (None, texts[1], "s"), (None, texts[2], "s"), (2, texts[3], "s"), (3, texts[3] + " more", "s"), (3, texts[4], "s")]
+    docs = frame(spark, [*rows, rows[0], rows[3]])
     got = minhash.keep_one(docs)
-    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {i for i, _, _ in rows} - want
+    want = [rows[k][:2] for k in (0, 2, 3, 4, 6)]
+    assert got.columns == docs.columns and collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(want)
+
+
+def brute_groups(sets, percent):
+    groups = []
+    for s in {frozenset(s) for s in sets if s}:
+        near = [g for g in groups if any(100 * len(s & t) >= percent * len(s | t) for t in g)]
+        groups = [g for g in groups if g not in near] + [{s}.union(*near)]
+    return groups
+
+
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    rows = odd_rows()
+    sets = sets_of(rows)
+    kept = sets_of([(r["doc_id"], r["text"], "") for r in minhash.keep_one(frame(spark, rows)).collect()])
+    groups = brute_groups(sets, 80)
+    assert sum(1 for s in kept if s) == len(groups) and all(sum(frozenset(s) in g for s in kept) == 1 for g in groups)
+    assert sum(1 for s in kept if not s) == sum(1 for s in sets if not s)
 
 
 def test_rows_without_an_id_are_judged_by_their_texts(spark):
@@ -185,6 +205,53 @@ def test_substring_removal_keeps_rows_and_lines(spark):
     assert substrings.digests(docs.limit(0)).collect() == []
 
 
+def digests_of(rows, length):
+    return collections.Counter((i, len(w), len(w) - sum(k), hashlib.sha256(" ".join(x for x, y in zip(w, k) if y).encode()).hexdigest()) for i, w, k in brute_removal(rows, length))
+
+
+def test_levels():
+    assert substrings.levels(50) == [25, 50] and substrings.levels(200) == [25, 50, 100, 200]
+    assert substrings.levels(2) == [1, 2] and substrings.levels(1) == [1, 1] and substrings.levels(50, 6) == [7, 13, 25, 50]
+
+
+@pytest.mark.parametrize("length, shortest, batch", [(40, 5, 4000), (23, 3, 1 << 22), (1, 25, 4000)])
+def test_several_levels(spark, monkeypatch, length, shortest, batch):
+    """Passages of all lengths, repeated in several documents: some fall out at each level."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    rng = random.Random(9)
+    own = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
+    passages = [own(n) for n in (4, 8, 12, 22, 39, 41, 45, 60, 90)]
+    rows = [(i, " ".join(sum(([*p, *own(rng.randint(1, 9))] for p in rng.sample(passages, 4)), own(3))), "s") for i in range(30)]
+    rows += [(31, None, "s"), (4, rows[4][1], "s"), (4, rows[5][1], "s"), (40, " ".join(own(500)), "s"), (50, " ".join(["a"] * 200), "s"), (51, " ".join(["a"] * 300), "s")]
+    docs = frame(spark, rows).repartition(4)
+    assert collections.Counter(map(tuple, substrings.digests(docs, length=length, shortest=shortest).collect())) == digests_of(rows, length)
+
+
+def test_no_candidates_at_the_first_level(spark):
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(300)), "s") for i in range(5)]
+    got = substrings.digests(frame(spark, rows), length=200)
+    assert collections.Counter(map(tuple, got.collect())) == digests_of(rows, 200)
+
+
+def test_many_rows_without_an_id(spark):
+    """Each is judged by its own text; they don't remove each other's words, and what a document with an id has goes."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(55))
+    texts = [" ".join(f"n{i}x{k}" for k in range(rng.randint(0, 80))) + (f" {passage} end{i}" if i % 3 else "") for i in range(300)]
+    rows = [(None, t, "s") for t in texts] + [(7, f"first {passage}", "s"), (8, texts[1], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (None, texts[2], "s"), (None, None, "s")]
+    docs = frame(spark, rows).repartition(6)
+    assert collections.Counter(map(tuple, substrings.digests(docs).collect())) == digests_of(rows, 50)
+    want = collections.Counter((i, " ".join(x for x, y in zip(w, k) if y)) for i, w, k in brute_removal(rows, 50) if not k or any(k))
+    assert collections.Counter((r["doc_id"], " ".join(WORD.findall(r["text"] or ""))) for r in substrings.remove(docs).collect()) == want
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    long = [f"l{rng.randrange(10**7)}" for _ in range(200000)]
+    rows = [(1, " ".join(long[100000:100400]), "s"), (2, " ".join(long), "s"), (3, "x" * 2000000 + " " + " ".join(long[5:70]), "s")]
+    assert collections.Counter(map(tuple, substrings.digests(frame(spark, rows)).collect())) == digests_of(rows, 50)
+
+
 # Mixing
 
 
@@ -304,7 +371,7 @@ def test_tables_are_the_distributions():
     one, other = (sampling._exponential[rng.integers(0, 1 << 16, 200000)] for _ in range(2))
     gamma = np.sort(rng.gamma(2, 1, 200000))
     assert np.abs(np.sort(one + other) - gamma)[:198000].max() < 0.12
-    assert np.abs(np.exp(sampling._log_gamma) - np.quantile(gamma, sampling._u))[:64000].max() < 0.12
+    assert np.abs(np.exp(sampling._log_gamma) - gamma[(sampling._u * len(gamma)).astype(int)])[:64000].max() < 0.12
     assert (np.diff(sampling._log_gamma) >= 0).all() and sampling._exponential.min() > 0
 
 
