@@ -47,6 +47,10 @@ def sample_key(key: str, quality: Column, seed: str = "mix") -> Column:
     return -F.log(u) / quality
 
 
+def text_digest(text: str) -> Column:
+    return F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("_digest")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
     """sizes: source, source_size. Adds target. The windows run over the sources, not over their documents."""
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -75,9 +79,12 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """For each row of docs: key, source, size, source_size, target, copies (how often the mix takes it) and _digest (of
     its text, to tell rows of one id apart)."""
     quality = quality_weight(text) if quality is None else quality
-    digest = F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), sample_key(key, quality).alias("at"), digest.alias("_digest"))
-    rows = stash(rows, "mix-rows")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), sample_key(key, quality).alias("at"), text_digest(text).alias("_digest"))
+    return plan_rows(stash(rows, "mix-rows"), key, weights, share, most)
+
+
+def plan_rows(rows: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
+    """The plan of rows that are written down: id, source, size, at (a sample_key) and _digest."""
     place = F.col("at") / (1 + F.col("at"))  # from 0 to 1, in the order of the keys
     fine = F.least(F.floor(place * RANGES * RANGES).cast("long"), F.lit(RANGES * RANGES - 1))
     rows = rows.withColumn("_fine", fine).withColumn("_range", F.floor(F.col("_fine") / RANGES).cast("long"))
@@ -87,7 +94,6 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") >= most, F.lit(0.0)).otherwise(F.col("target") - F.col("epochs") * F.col("source_size")))
     sources = stash(sources, "mix-sources", narrow=True)
 
-
     def crossing(part: DataFrame, budgets: DataFrame, column: str, left: str) -> DataFrame:
         """The range in which each source's sum crosses its budget, and what is left of the budget there."""
         histogram = part.groupBy("source", column).agg(F.sum("size").alias("s"))
@@ -117,9 +123,10 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return joined.select(F.col("r.id").alias(key), F.col("r.source").alias("source"), "size", "source_size", "target", (F.col("epochs") + inside.cast("long")).alias("copies"), "_digest")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    rows = plan(docs, key, text, source, **options).filter("copies > 0").groupBy(F.col(key).alias("_id"), "_digest").agg(F.max("copies").alias("_copies"))
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", planned: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. planned: the rows of a plan that is made already."""
+    planned = plan(docs, key, text, source, **options) if planned is None else planned
+    rows = planned.filter("copies > 0").groupBy(F.col(key).alias("_id"), "_digest").agg(F.max("copies").alias("_copies"))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_own"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("_text"))
     taken = packed.join(rows, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")))
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")

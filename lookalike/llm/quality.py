@@ -173,6 +173,7 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
 
 def _tree_sum(parts: DataFrame) -> list[np.ndarray] | None:
     """Sum of the packed arrays of all rows of the column `part`, FAN_IN at a time; the driver gets FAN_IN at most."""
+    parts = stash(parts, "equations")  # a row per task that read labelled rows
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -183,7 +184,7 @@ def _tree_sum(parts: DataFrame) -> list[np.ndarray] | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["part"])
 
-    left = parts.rdd.getNumPartitions()
+    left = parts.count()
     while left > FAN_IN:
         left = -(-left // FAN_IN)
         parts = parts.repartition(left).mapInArrow(add, "part binary")
@@ -214,6 +215,7 @@ def _isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, label: str = "label", half: str = "half", statistics: str = "_statistics") -> Model:
     """rows: statistics, a label from 0 to 1, and half (boolean), which says what half a row belongs to."""
     rows = rows.filter(F.col(label).isNotNull()).select(F.col(statistics).alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(half), F.lit(False)).alias("h"))
+    rows = stash(rows, "labelled", narrow=True)  # read three times; statistics alone, so few files
     n = len(STATISTICS)
     sums = rows.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y"), *[f(F.col("x")[i]) for i in range(n) for f in (F.avg, F.stddev_pop)]).first()
     if not sums[0]:
@@ -295,9 +297,14 @@ def fold(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def learn_from(known: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", statistics: str = "_statistics") -> Model:
+    """The model from the labelled rows that are not held out. known: key and statistics, written down."""
+    truth = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_of")).agg(F.avg(F.col(label)).alias("_label"))
+    rows = known.filter(fold(key) != 1).join(truth, F.col(key).cast("long") == F.col("_of"))
+    return fit(rows.select(F.col(statistics).alias("_statistics"), "_label", (fold(key) == 2).alias("_half")), "_label", "_half")
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[Model, DataFrame]:
     """The model from the labelled rows that are not held out, and key and statistics of all rows, written once."""
     known = stash(featurize(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")), "_text"), "statistics")
-    truth = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.avg(F.col(label)).alias("_label"))
-    rows = known.filter(fold(key) != 1).join(truth, key).withColumn("_half", fold(key) == 2)
-    return fit(rows, "_label", "_half"), known
+    return learn_from(known, labels, key, label), known
