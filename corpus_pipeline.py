@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group that is linked by a similarity of 0.8 or more; each row is judged by its text."""
-    return minhash.keep_one_row(docs, percent=80)
+    return minhash.keep_one(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substrings.remove(docs)
 
 
+#: Weight of a document that the classifier is sure to reject, so that every document can be taken.
+LEAST_WEIGHT = 0.01
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
-    return mixing.mix(docs)
+    """Each document as often as the mix of the sources takes it. Its weight in the sampling is the classifier's score, learnt
+    from the labels of documents that are here; texts are not kept with their statistics."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), "source", mixing.n_words("text").alias("size"), mixing.text_digest("text"), F.col("text").alias("_text"))
+    known = stash(quality.featurize(slim, "_text"), "mix-statistics")
+    model = quality.learn_from(known.withColumnRenamed("id", "doc_id"), table(spark, sf_dir, "labels"))
+    weight = F.greatest(F.col("_score"), F.lit(LEAST_WEIGHT))
+    scored = quality.score_statistics(known, model, out="_score")
+    rows = stash(scored.select("id", "source", "size", mixing.sample_key("id", weight).alias("at"), "_digest"), "mix-rows")
+    return mixing.mix(docs, planned=mixing.plan_rows(rows))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
