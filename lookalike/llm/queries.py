@@ -26,7 +26,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 def op1_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(as_long("page_id"), "url", "html")
-    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars", "n_repeated")
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

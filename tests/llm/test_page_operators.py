@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from lookalike.llm import html, jpeg, urls, warc
@@ -108,6 +110,96 @@ def test_blocks_that_mix_repeats_and_own_words(spark):
     assert got == {k: f"own{k} a{k} b{k} {body_of(k)}" for k in range(6)}
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><p>see <a href=/x title=it's>this</a> page</article>", "see this page"),
+        ("<article>a<img alt='1 > 0'>b<a title=\"x>y\">c</a> <i data-x=a\"b>d</i></article>", "abc d"),
+        ("<article>a<b title='>open</b> quote</article>", "aopen quote"),
+        ("<article><div class=related-work>w</div><p class='share-price'>p</p><div id=widget-design>d</div></article>", "w p d"),
+        ("<article>a<div class='site-footer'>f</div><div class='ad-slot-3'>x</div><ul class='share-buttons social'><li>s</ul>b</article>", "a b"),
+        ("<article>a<div class='comment-xyz'><article>reply</article></div>b</article>", "a reply b"),
+    ],
+)
+def test_attributes_and_names(source, text):
+    assert html.without_repeats(html.parse(source).blocks, "h", [])[0] == text
+
+
+def test_deep_and_long_pages_take_linear_time():
+    def seconds(n):
+        began = time.process_time()
+        page = html.parse("<article>" + "<div><span class=x>" * n + "deep" + "</span></div>" * n + "<svg>" * 500 + "<p>tail" + "<a title=\"" * 500)
+        assert page.text().startswith("deep")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(60000) < 12 * max(seconds(15000), 0.05)
+    long = "<article>" + "word &amp; " * 400000 + "</article>"
+    assert len(html.parse(long).text()) == 400000 * 7 - 1
+
+
+def brute_extract(rows, run=html.RUN, least=html.LEAST_PAGES):
+    """Text and n_repeated of each row, by counting every run of every distinct content of a host."""
+    pages = [(html.host_of(u), html.parse(h)) for _, u, h in rows]
+    words = lambda page: [(i, w) for i, (k, t) in enumerate(page.blocks) if k != html.ARTICLE for w in t.split()]
+    seen = collections.defaultdict(set)
+    for host, page in pages:
+        w = [x for _, x in words(page)]
+        for k in range(len(w) - run + 1):
+            seen[host, tuple(w[k : k + run])].add(tuple(t for _, t in page.blocks))
+    out = []
+    for host, page in pages:
+        found = words(page)
+        w = [x for _, x in found]
+        gone = [False] * len(w)
+        for k in range(len(w) - run + 1):
+            if len(seen[host, tuple(w[k : k + run])]) >= least:
+                gone[k : k + run] = [True] * run
+        parts = []
+        for i, (kind, text) in enumerate(page.blocks):
+            own = [x for (j, x), g in zip(found, gone) if j == i and not g]
+            if kind == html.ARTICLE:
+                parts.append(text)
+            elif own and (kind == html.SUSPECT or kind == html.REST and not page.has_article):
+                parts.append(" ".join(own))
+        out.append((" ".join(parts), sum(gone)))
+    return out
+
+
+def odd_pages():
+    rng = random.Random(12)
+    pieces = [" ".join(f"{a}{k}" for k in range(n)) for a, n in (("menu", 7), ("side", 14), ("foot", 6), ("short", 4), ("note", 30))]
+    own = lambda: " ".join(f"o{rng.randrange(10**8)}" for _ in range(rng.randint(1, 12)))
+    tags = ["<div>{}</div>", "<nav>{}</nav>", "<p>{}", "<div class='related-{}x'>{{}}</div>".format("work"), "<article><p>{}</p></article>", "<article>{}<div class='share-price'>{}</div></article>", "<footer>{}</footer>"]
+    rows = []
+    for i in range(120):
+        body = "".join((t := rng.choice(tags)).format(*[rng.choice([rng.choice(pieces), own(), f"{own()} {rng.choice(pieces)} {own()}"]) for _ in range(t.count("{}"))]) for _ in range(rng.randint(0, 5)))
+        rows.append((i, f"http://{'abc'[i % 3]}.org/{i}", f"<html><body>{body}"))
+    rows += [(200, "http://a.org/x", rows[0][2]), (201, "http://b.org/x", rows[0][2]), (0, rows[0][1], rows[0][2]), (202, None, None), (203, "http://a.org", ""), (None, None, rows[3][2])]
+    return rows + [(300 + k, "http://copies.org/", f"<div>{pieces[4]} end</div>") for k in range(9)]
+
+
+def test_extract_against_brute_force(spark, monkeypatch):
+    rows = odd_pages()
+    want = collections.Counter((i, t, len(t), n) for (i, _, _), (t, n) in zip(rows, brute_extract(rows)))
+    for size in (html.BATCH_BYTES, 3000):
+        monkeypatch.setattr(html, "BATCH_BYTES", size)
+        got = html.extract(frame(spark, rows).repartition(4)).collect()
+        assert collections.Counter((r["page_id"], r["text"], r["n_chars"], r["n_repeated"]) for r in got) == want
+    off = collections.Counter((r["page_id"], r["text"]) for r in html.extract(frame(spark, rows), least=10**9).collect())
+    assert sum((off - collections.Counter((i, t) for (i, t, _, _), n in want.items() for _ in range(n))).values()) > 20
+
+
+def test_the_suffix_array_speaks_of_the_pages_table(spark):
+    """Its rows hold what a host repeats; with the array switched off they don't."""
+    pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(pages).collect()}
+    assert [got[i] for i, _, _ in rows] == brute_extract(rows)
+    off = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(pages, least=10**9).collect()}
+    assert sum(off[i] != got[i] for i in got) > 0
+
+
 # URL filters
 
 
