@@ -99,11 +99,11 @@ def _signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def clusters(reps: DataFrame) -> DataFrame:
     """node and component of the sets (_id, _a, _b) that share a table's bucket with another."""
     keys = reps.select("_id", F.explode("_a").alias("_a"))
-    shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys", narrow=True)
+    shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys", few=True)
     few = keys.join(shared, "_a").groupBy("_id").agg(F.collect_set("_a").alias("_a"))
-    few = stash(few.join(reps.select("_id", "_b"), "_id"), "band-rows", narrow=True)
+    few = stash(few.join(reps.select("_id", "_b"), "_id"), "band-rows", few=True)
     tables = few.select("_id", F.explode("_a").alias("_a"), "_b").select("_id", "_a", F.explode("_b").alias("_b")).select("_id", F.xxhash64("_a", "_b").alias("_table"))
-    hubs = stash(tables.groupBy("_table").agg(F.min("_id").alias("a"), F.max("_id").alias("hi")).filter("a < hi").select("_table", "a"), "tables", narrow=True)
+    hubs = stash(tables.groupBy("_table").agg(F.min("_id").alias("a"), F.max("_id").alias("hi")).filter("a < hi").select("_table", "a"), "tables", few=True)
     return connected_components(tables.join(hubs, "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct(), "a", "b")
 
 
@@ -216,7 +216,10 @@ def joined(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text:
     counts = many.groupBy("_cluster", "_blocks", "_group").agg(F.count("*").alias("_n"))
     counts = counts.groupBy("_cluster", "_blocks").agg(F.max(F.struct("_n", "_group"))["_group"].alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
     counts = counts.filter("_all > _most").select("_cluster", "_largest", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_parts"))
-    rest = stash(many.join(stash(counts, "rests", narrow=True), "_cluster").select("_id", "_cluster", "_group", (F.col("_group") != F.col("_largest")).alias("_rest"), "_parts"), "rest", narrow=True)
+    counts = stash(counts, "rests", narrow=True)
+    if not counts.limit(1).count():
+        return near, near.limit(0)
+    rest = stash(many.join(counts, "_cluster").select("_id", "_cluster", "_group", (F.col("_group") != F.col("_largest")).alias("_rest"), "_parts"), "rest", narrow=True)
     both = sets.filter("_blocks > 1").join(rest, ["_id", "_cluster"])
     here = both.select(*slim, "_group", F.lit(False).alias("_visits"), F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_j"))
     part = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
@@ -228,15 +231,15 @@ def _judged(docs: DataFrame, key: str, text: str, percent: int, size: int) -> Da
     """A row per document: _id, _key, _n, and _best, the least _id and _key of its group (null: an empty set)."""
     tune(docs.sparkSession)
     signed = stash(_signed(docs, key, text, size).withColumn("_row", F.monotonically_increasing_id()), "signatures")
-    nodes = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_row").alias("_node")), "sets", narrow=True)
+    nodes = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_row").alias("_node")), "sets", few=True)
     reps = stash(signed.join(nodes, "_set").filter("_row = _node").select("_node", "_id", "_key", "_a", "_b"), "representatives")
     members = clusters(reps.select(F.col("_node").alias("_id"), "_a", "_b"))
     near, further = joined(docs, members, reps, key, text, size, percent)
     groups = nodes.join(near, nodes["_node"] == near["node"], "left").select("_set", F.coalesce("component", "_node").alias("_near"))
     groups = groups.join(further, F.col("_near") == F.col("node"), "left").select("_set", F.coalesce("component", "_near").alias("_group"))
-    rows = stash(signed.select("_id", "_key", "_n", "_set").join(groups, "_set", "left").drop("_set"), "grouped", narrow=True)
+    rows = stash(signed.select("_id", "_key", "_n", "_set").join(groups, "_set", "left").drop("_set"), "grouped", few=True)
     best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("_best"))
-    return rows.join(stash(best, "best", narrow=True), "_group", "left").drop("_group")
+    return rows.join(stash(best, "best", few=True), "_group", "left").drop("_group")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE) -> DataFrame:
@@ -254,7 +257,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     rows = _judged(docs, key, text, percent, size).filter("_best is not null")
     found = rows.groupBy(F.col("_id").alias("_at"), F.col("_key").alias("_of")).agg(F.count("*").alias("_rows"), F.min(F.col("_best._id")).alias("_least"), F.min(F.col("_best._key")).alias("_least_key"))
     found = found.withColumn("_stays", (F.col("_at") == F.col("_least")) & (F.col("_of") == F.col("_least_key")))
-    found = stash(found.filter("not _stays or _rows > 1").select("_at", "_of", "_stays"), "not-kept", narrow=True)
+    found = stash(found.filter("not _stays or _rows > 1").select("_at", "_of", "_stays"), "not-kept", few=True)
     same = (_order(docs[key]) == F.col("_at")) & (_digest(docs[text]) == F.col("_of"))
     once = docs.join(found, same, "left_anti")
     several = docs.select("*").join(found.filter("_stays"), same).groupBy("_at", "_of").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_doc"))

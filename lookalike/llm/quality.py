@@ -215,7 +215,7 @@ def _isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, label: str = "label", half: str = "half", statistics: str = "_statistics") -> Model:
     """rows: statistics, a label from 0 to 1, and half (boolean), which says what half a row belongs to."""
     rows = rows.filter(F.col(label).isNotNull()).select(F.col(statistics).alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(half), F.lit(False)).alias("h"))
-    rows = stash(rows, "labelled", narrow=True)  # read three times; statistics alone, so few files
+    rows = stash(rows, "labelled", few=True)  # read three times; statistics alone
     n = len(STATISTICS)
     sums = rows.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y"), *[f(F.col("x")[i]) for i in range(n) for f in (F.avg, F.stddev_pop)]).first()
     if not sums[0]:

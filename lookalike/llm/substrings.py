@@ -253,14 +253,14 @@ def _dedup(docs: DataFrame, key: str, text: str, length: int, finish, shortest:
     rows = _keyed(docs, key, text)
 
     marks = stash(rows.select("_id", "_tk", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_md5")), "text-digests")
-    firsts = stash(_shared(marks, "_md5"), "text-firsts", narrow=True)
+    firsts = stash(_shared(marks, "_md5"), "text-firsts", few=True)
     copies = marks.join(firsts, "_md5").filter("_id > _least").select("_id", "_tk").distinct()
 
     seen, before = None, None
     for part in levels(length, shortest)[:-1]:
         state = rows if seen is None else rows.join(seen, ["_id", "_tk"])
         anchors = stash(_anchors(state, length, part, before), f"stretches-{part}")
-        several = stash(_shared(anchors.filter("not _done"), "_h").select("_h"), f"shared-{part}", narrow=True)
+        several = stash(_shared(anchors.filter("not _done"), "_h").select("_h"), f"shared-{part}", few=True)
         repeated = anchors.filter("_done").unionByName(anchors.filter("not _done and size(_at) > 0").join(several, "_h"))
         seen, before = stash(_places(repeated, "_seen"), f"seen-{part}"), part
         if not seen.limit(1).count():
@@ -270,7 +270,7 @@ def _dedup(docs: DataFrame, key: str, text: str, length: int, finish, shortest:
     open_rows = stash(_candidates(state, length, before, finish), "windows")
 
     windows = open_rows.filter(F.size("_h") > 0).select("_id", "_tk", F.explode(F.arrays_zip("_h", "_g", "_at")).alias("w")).select("_id", "_tk", "w._h", "w._g", "w._at")
-    least = stash(_shared(windows, "_h", "_g"), "shared-windows", narrow=True)
+    least = stash(_shared(windows, "_h", "_g"), "shared-windows", few=True)
     more = stash(_places(windows.join(least, ["_h", "_g"]).filter("_id > _least"), "_more"), "covered")
     left = open_rows.filter("_kept is null").select("_id", "_tk", "_n", "_text", "_covered").join(more, ["_id", "_tk"], "left")
     ready = open_rows.filter("_kept is not null").select("_id", "_tk", "_n", "_removed", "_kept")

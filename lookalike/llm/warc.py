@@ -111,7 +111,7 @@ def duplicates(pages: DataFrame, key: str = "page_id", payload: str = "html", le
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("_key"), F.sha1(data).alias("_digest"), F.length(data).alias("_size")).filter(F.col("_size") >= least)
     rows = stash(rows, "warc-digests")
-    first = stash(rows.groupBy("_digest", "_size").agg(F.max("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"), "warc-firsts", narrow=True)
+    first = stash(rows.groupBy("_digest", "_size").agg(F.max("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"), "warc-firsts", few=True)
     revisits = rows.join(first, ["_digest", "_size"]).filter(F.coalesce(F.col("_key"), F.lit(-(1 << 63))) < F.col("_first")).select("_key", "_digest", "_first").distinct()
     revisits = revisits.withColumnRenamed("_digest", "_same")
     joined = pages.withColumn("_key", F.col(key).cast("long")).alias("p").join(revisits.alias("r"), F.col("p._key").eqNullSafe(F.col("r._key")) & (F.sha1(F.coalesce(F.col(f"p.{payload}").cast("binary"), F.lit(b""))) == F.col("r._same")), "left")

@@ -12,7 +12,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lookalike.llm import html, jpeg, urls, warc
+from lookalike.llm import html, jpeg, queries, urls, warc
 from lookalike.llm.common import fresh_path
 
 ODD = "page_id long, url string, html string, host string, text string, _rid string, `_row` string, payload string, verdict string"
@@ -181,23 +181,27 @@ def odd_pages():
 
 def test_extract_against_brute_force(spark, monkeypatch):
     rows = odd_pages()
-    want = collections.Counter((i, t, len(t), n) for (i, _, _), (t, n) in zip(rows, brute_extract(rows)))
+    found = brute_extract(rows)
+    want = collections.Counter((i, t, len(t)) for (i, _, _), (t, _) in zip(rows, found))
+    repeated = collections.Counter((i, n) for (i, _, _), (_, n) in zip(rows, found) if n)
     for size in (html.BATCH_BYTES, 3000):
         monkeypatch.setattr(html, "BATCH_BYTES", size)
-        got = html.extract(frame(spark, rows).repartition(4)).collect()
-        assert collections.Counter((r["page_id"], r["text"], r["n_chars"], r["n_repeated"]) for r in got) == want
-    off = collections.Counter((r["page_id"], r["text"]) for r in html.extract(frame(spark, rows), least=10**9).collect())
-    assert sum((off - collections.Counter((i, t) for (i, t, _, _), n in want.items() for _ in range(n))).values()) > 20
+        docs = frame(spark, rows).repartition(4)
+        assert collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(docs).collect()) == want
+        assert collections.Counter((r["page_id"], r["n_repeated"]) for r in html.repeats(docs).collect()) == repeated
+    off = collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(frame(spark, rows), least=10**9).collect())
+    assert sum((off - want).values()) > 20
 
 
-def test_the_suffix_array_speaks_of_the_pages_table(spark):
-    """Its rows hold what a host repeats; with the array switched off they don't."""
+def test_pages_table(spark):
+    """Every text of the table is as brute force has it, and the suffix array speaks of its rows."""
     pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/pages.parquet")
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
-    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(pages).collect()}
-    assert [got[i] for i, _, _ in rows] == brute_extract(rows)
-    off = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(pages, least=10**9).collect()}
-    assert sum(off[i] != got[i] for i in got) > 0
+    found = brute_extract(rows)
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {i: t for (i, _, _), (t, _) in zip(rows, found)}
+    got = {r["page_id"]: r["n_repeated"] for r in html.repeats(pages).collect()}
+    assert got == {i: n for (i, _, _), (_, n) in zip(rows, found) if n} and got
+    assert html.repeats(pages, least=10**9).count() == 0
 
 
 # URL filters
@@ -292,6 +296,49 @@ def test_media_columns(spark):
     assert jpeg.probe(jpeg.store(df.limit(0))).collect() == []
 
 
+def slow_feature(payload):
+    """Of the blocks' first coefficients, pixel by pixel."""
+    n = len(payload) // 64
+    wide = next(w for w in range(1, n + 1) if w * w >= n)
+    high = -(-n // wide)
+    first = [payload[64 * k] for k in range(n)] + [0] * (wide * high - n)
+    pixels = [min(255, max(0, round((b - 255 if b < 128 else b) / 8 + 128))) for b in first]
+    bits = ""
+    for y in range(8):
+        line = [pixels[y * high // 8 * wide + x * wide // 9] for x in range(9)]
+        bits += "".join("1" if b > a else "0" for a, b in zip(line, line[1:]))
+    return f"{8 * wide}x{8 * high}:{int(bits, 2):016x}-{zlib.crc32(bytes(pixels)):08x}"
+
+
+def test_media_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["", None, "abc", "é漢" * 100, "x" * 64, "x" * 64, "\0\0", "long " * 40000, *("".join(rng.choice("abc dé\x7f~") for _ in range(rng.randint(1, 9000))) for _ in range(25))]
+    rows = [(i, t, "odd") for i, t in enumerate(texts)] + [(None, "abc", "odd"), (2, "abc", "odd")]
+    spark.createDataFrame(rows, "doc_id long, text string, media string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(map(tuple, queries.op4_jpeg_media(spark, str(tmp_path)).collect()))
+    want = collections.Counter()
+    for i, t, _ in rows:
+        data = (t or "").encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        media = jpeg.encode(payload)
+        if len(media) < 20000:  # read by the general decoder, symbol by symbol
+            assert jpeg.Picture(media).payload(jpeg.Picture(media)._one_by_one()) == payload
+        want[i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), slow_feature(payload)] += 1
+    assert got == want
+
+
+def test_long_urls_and_payloads(spark):
+    """Repeated rows, an empty table, a URL and a payload of a megabyte."""
+    long = "http://a.org/en/" + "x" * 1_000_000
+    rows = [(1, long, "y" * 1_500_000), (2, "http://example.net/en/" + "z" * 500_000, "y" * 1_500_000), (2, "http://example.net/en/" + "z" * 500_000, "y" * 1_500_000)]
+    rules = [("block", "net/"), ("allow", "example.net/en/")]
+    got = urls.judge(frame(spark, rows), rules).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"], len(r["path"])) for r in got) == [(1, None, "allow", 1_000_004), (2, "example.net/en/", "allow", 500_004), (2, "example.net/en/", "allow", 500_004)]
+    assert urls.judge(frame(spark, rows).limit(0), rules).collect() == []
+    digest = hashlib.sha1(b"y" * 1_500_000).hexdigest()
+    assert sorted(map(tuple, warc.round_trip(frame(spark, rows)).collect())) == [(1, 1_500_000, digest, "revisit", 2), (2, 1_500_000, digest, "response", None), (2, 1_500_000, digest, "response", None)]
+
+
 # WARC
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lookalike.llm import bpe, minhash, mixing, quality, queries, sampling, substrings, words
@@ -291,6 +292,48 @@ def test_mix(spark):
     assert mixing.plan(docs.limit(0)).collect() == []
 
 
+def test_mix_takes_what_is_planned(spark):
+    """Row by row, null ids, repeated ids and equal rows among them."""
+    rows = odd_rows()
+    docs = frame(spark, rows)
+    ids = {hash_: t for hash_, t in docs.selectExpr("coalesce(xxhash64(text), 0) h", "text").distinct().collect()}
+    copies = {}
+    planned = mixing.plan(docs).collect()
+    for r in planned:
+        copies[r["doc_id"], ids[r["_digest"]]] = max(r["copies"], copies.get((r["doc_id"], ids[r["_digest"]]), 0))
+    want = collections.Counter()
+    for i, t, _ in rows:
+        want[i, t] += copies[i, t]
+    assert len(planned) == len(rows) and collections.Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect()) == +want
+
+
+def brute_plan(rows, weights=(5, 2, 1), most=3):
+    """rows: id, size, source, key, digest. Copies of each, by sorting whole sources."""
+    sizes = collections.Counter()
+    for _, n, s, _, _ in rows:
+        sizes[s] += n
+    target = brute_targets(sizes, weights, most)
+    out = collections.Counter()
+    for s in {r[2] for r in rows}:
+        epochs = min(most, int(target[s] // sizes[s])) if sizes[s] else 0
+        rest = target[s] - epochs * sizes[s] if epochs < most else 0
+        before = 0
+        for i, n, _, k, d in sorted((r for r in rows if r[2] == s), key=lambda r: (r[3], -(2**63) if r[0] is None else r[0], r[4])):
+            out[i, n, d, epochs + (rest - before > n / 2)] += 1
+            before += n
+    return out
+
+
+def test_plan_against_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "##", "c!"]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    rows = [(rng.choice([i, i, None]), t, rng.choice(["p", "q", "p", "r", None])) for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    keyed = docs.select("doc_id", mixing.n_words("text"), "source", mixing.sample_key("doc_id", mixing.quality_weight("text")), mixing.text_digest("text"))
+    got = collections.Counter((r["doc_id"], r["size"], r["_digest"], r["copies"]) for r in mixing.plan(docs).collect())
+    assert got == brute_plan([tuple(r) for r in keyed.collect()])
+
+
 def test_quality_weights_favour_clean_texts(spark):
     rows = [(i, "clean words here" if i % 2 else "### $$$ %%%", "a") for i in range(600)] + [(i, "other source word", "b") for i in range(600, 1200)]
     got = mixing.plan(frame(spark, rows), weights=(1, 5)).filter("source = 'a' and copies > 0").collect()
@@ -540,6 +583,17 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.collect()}
 
 
+def test_mix_follows_the_classifier(spark, tmp_path):
+    """Of two kinds of texts, the one that labels call good is taken first, whatever its symbols."""
+    rng = random.Random(2)
+    text = lambda good: " ".join(rng.choice(["fine###", "words###"] if good else ["spam", "x"]) for _ in range(30))
+    rows = [(i, text(i % 2), "a" if i < 400 else "b") for i in range(800)]
+    spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("source") == "a", "b").otherwise("a"))  # b's target is below its size
+    got = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).filter("source = 'b'").collect()]
+    assert 0 < len(got) < 400 and sum(i % 2 for i in got) > 0.75 * len(got)
+
+
 def test_stages_keep_columns_and_repeat_brute_force(spark, tmp_path):
     rows = [(i, t, s) for i, t, s in odd_rows() if i is not None]
     docs = frame(spark, rows)
@@ -549,6 +603,8 @@ def test_stages_keep_columns_and_repeat_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in near.collect()} == {i for i, _, _ in rows} - gone
     cut = corpus_pipeline.cut_repeats(spark, docs, SMALL)
     assert cut.columns == docs.columns
+    want = collections.Counter((i, " ".join(x for x, y in zip(w, k) if y)) for i, w, k in brute_removal(rows, 50) if not k or any(k))
+    assert collections.Counter((r["doc_id"], " ".join(WORD.findall(r["text"] or ""))) for r in cut.collect()) == want
     mixed = corpus_pipeline.mix_sources(spark, docs, SMALL)
     assert mixed.columns == docs.columns
     spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
