@@ -27,7 +27,7 @@ def connected_components(links: DataFrame, a: str = "id1", b: str = "id2") -> Da
     are taken between the roots, and what lies within one is gone. A round at least halves the nodes, and links shrink with
     them. Everything between rounds is written down, the driver sees counts. The joins are between plain scans, so that
     adaptive execution can split a hot node."""
-    edges = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct(), "edges", narrow=True)
+    edges = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct(), "edges", few=True)
     levels: list[DataFrame] = []
     while True:
         both = edges.select(F.col("v").alias("node"), F.col("u").alias("other")).unionByName(edges.select(F.col("u").alias("node"), F.col("v").alias("other")))
