@@ -15,8 +15,10 @@ from .functions import scalars as S
 from .functions.signatures import sign_bits, simhash
 from .operators import cache, groups, index, reports, selection
 from .plans import moves, repair
+from .sources import analyze, files
 from .schema import ALPHABET_FOLDERS, INDEX_TIERS, RESERVED_NAMES, RESOLUTION_CLASSES
 from .storage import written
+from .streaming.windows import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,7 +263,17 @@ def q_hamming_pairs(spark, sf_dir):
     return index.all_pairs(written(vector_signatures(spark, sf_dir), "vectors"), 18, 64)
 
 
+@query(f"select count(*)::bigint exact_pairs, true met from vectors a join vectors b on a.id < b.id where {_APART} <= 18", "vectors")
+def q_index_recall(spark, sf_dir):
+    """The pairs of the search by all pairs, and whether the index finds 9 of 10 of them at least."""
+    rows = written(vector_signatures(spark, sf_dir), "vectors")
+    exact, found = index.all_pairs(rows, 18, 64), index.near_pairs(rows, 18, 64, use_index=True).select("id1", "id2", F.lit(1).alias("hit"))
+    return exact.join(found, ["id1", "id2"], "left").agg(F.count("*").alias("exact_pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("met"))
+
+
 _TABLES, _BITS = INDEX_TIERS[0][1:]
+#: A distance at which the test tables have near copies: an edit changes more of a short text than of a picture.
+_NEAR_AT = 32
 
 
 def _keys(hash_bits: int, tables: int, bits: int) -> str:
@@ -288,14 +300,14 @@ def q_pair_estimate(spark, sf_dir):
     return index.pair_estimate(index.buckets(text_signatures(spark, sf_dir), _TABLES, _BITS))
 
 
-_WITH["pairs"] = f"select id1, id2, distance from (select distinct a.id id1, b.id id2, {_APART} distance from buckets a join buckets b on a.table_id = b.table_id and a.bucket_key = b.bucket_key and a.id < b.id join reps ra on ra.id = a.id join reps rb on rb.id = b.id) where distance <= 10"
+_WITH["pairs"] = f"select id1, id2, distance from (select distinct a.id id1, b.id id2, {_APART} distance from buckets a join buckets b on a.table_id = b.table_id and a.bucket_key = b.bucket_key and a.id < b.id join reps ra on ra.id = a.id join reps rb on rb.id = b.id) where distance <= {_NEAR_AT}"
 
 
 @query("select id1, id2, distance from pairs", "sims", "buckets", "reps", "pairs")
 def q_index_pairs(spark, sf_dir):
     """Between representatives of equal signatures."""
     reps, _ = index.representatives(text_signatures(spark, sf_dir))
-    return index.indexed_pairs(written(reps, "representatives"), 10, _TABLES, _BITS)
+    return index.indexed_pairs(written(reps, "representatives"), _NEAR_AT, _TABLES, _BITS)
 
 
 @query("select s.id, r.id rep from sims s join reps r on s.bits = r.bits", "sims", "reps")
@@ -311,7 +323,7 @@ def q_index_candidates(spark, sf_dir):
 
 
 _WITH["signed"] = "select a.path, s.bits from assets a join sims s on a.doc_id = s.id where not exists (select 1 from exact e where e.file_hash = a.file_hash)"
-_WITH["near"] = f"select a.path u, b.path v from signed a join signed b on a.path < b.path where {_APART} <= 10"
+_WITH["near"] = f"select a.path u, b.path v from signed a join signed b on a.path < b.path where {_APART} <= {_NEAR_AT}"
 _WITH["edges"] = "select u, v from near union all select v, u from near"
 _WITH["cc"] = "select u node, u label from edges union select b.v, cc.label from cc join edges b on cc.node = b.u"
 _WITH["perceptual"] = "select dense_rank() over (order by component) rank, node path from (select node, min(label) component from cc group by node)"
@@ -320,13 +332,21 @@ _NEAR = (*_EXACT, "sims", "signed", "near", "edges", "cc", "perceptual")
 
 @query("select rank::bigint group_id, 'perceptual' match_type, path from perceptual", *_NEAR)
 def q_perceptual_groups(spark, sf_dir):
-    return groups.perceptual_groups(written(assets(spark, sf_dir, True), "assets"), 10, use_index=False)
+    return groups.perceptual_groups(written(assets(spark, sf_dir, True), "assets"), _NEAR_AT, use_index=False)
+
+
+@query(f"select a.rank::bigint group_id, max({_APART.replace('a.bits', 'x.bits').replace('b.bits', 'y.bits')})::bigint radius from perceptual a join (select rank, min(path) first from perceptual group by rank) f on a.rank = f.rank join signed x on x.path = a.path join signed y on y.path = f.first group by 1", *_NEAR)
+def q_group_radius(spark, sf_dir):
+    """How far members are from the first of their group; single linkage bounds only neighbours' distances."""
+    rows = written(assets(spark, sf_dir, True), "assets")
+    found = groups.spread(groups.perceptual_groups(rows, _NEAR_AT, use_index=False), rows)
+    return found.select("group_id", F.col("radius").cast("bigint").alias("radius"))
 
 
 @query("select group_id::bigint group_id, match_type, path from exact union all select rank + (select max(group_id) from exact), 'perceptual', path from perceptual", *_NEAR)
 def q_all_groups(spark, sf_dir):
-    """With the index, whose recall at this distance leaves no pair out here."""
-    return groups.all_groups(written(assets(spark, sf_dir, True), "assets"), 10, use_index=True)
+    """With the index, at a recall that leaves no pair out."""
+    return groups.all_groups(written(assets(spark, sf_dir, True), "assets"), _NEAR_AT, use_index=True, target_recall=1 - 1e-9)
 
 
 _SIZES = "(values (500), (5000), (20000), (100000), (300000), (650000), (10000000)) t(n)"
@@ -464,11 +484,34 @@ def q_cache_stale(spark, sf_dir):
     return cache.stale(rows, now or 0.0, 1).select("path")
 
 
-@query("select distinct '/cache/' || user_id::varchar path from events where user_id not in (select c_custkey from customer)")
+def _known_and_there(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A path per user, and those of which a supplier has the number."""
+    there = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("/cache/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return _touches(spark, sf_dir).select("path").distinct(), there
+
+
+@query("select distinct '/cache/' || user_id::varchar path from events where user_id not in (select s_suppkey from supplier)")
 def q_cache_missing(spark, sf_dir):
-    known = _touches(spark, sf_dir).select("path").distinct()
-    files = _table(spark, sf_dir, "customer").select(F.concat(F.lit("/cache/"), F.col("c_custkey").cast("string")).alias("path"))
-    return cache.missing(known, files)
+    return cache.missing(*_known_and_there(spark, sf_dir))
+
+
+@query("select distinct '/cache/' || user_id::varchar path from events where user_id in (select s_suppkey from supplier)")
+def q_cache_present(spark, sf_dir):
+    return cache.present(*_known_and_there(spark, sf_dir))
+
+
+@query("select path, case when s1 % 3 = 0 then s1::varchar || ',0,0' end dominant_color from ends", "touches", "ends")
+def q_cache_colors(spark, sf_dir):
+    stored, now = _first_and_last(spark, sf_dir)
+    colors = now.filter("file_size % 3 = 0").select("path", F.concat(F.col("file_size").cast("string"), F.lit(",0,0")).alias("dominant_color"))
+    return cache.with_colors(stored, colors).select("path", "dominant_color")
+
+
+@query("select path from ends where path <> '/cache/7' and path <> '/cache/1'", "touches", "ends")
+def q_cache_invalidated(spark, sf_dir):
+    """Without a path and without a folder, whose neighbours /cache/10 and so on stay."""
+    stored, _ = _first_and_last(spark, sf_dir)
+    return cache.without_directory(cache.without_path(stored, "/cache/7"), "/cache/1").select("path")
 
 
 @query("select count(*)::bigint entries, coalesce(sum(s1), 0)::bigint total_bytes, round(coalesce(sum(s1), 0)::bigint / 1048576.0::double, 2) total_mb from ends", "touches", "ends")
@@ -483,10 +526,17 @@ def q_recent_directories(spark, sf_dir):
 
 @query("select strftime(ts, '%Y-%m-%d %H:00') as hour, event_type, count(*)::bigint n, count(distinct user_id)::bigint users from events group by 1, 2")
 def q_hourly_events(spark, sf_dir):
-    """The batch form of the streaming counts in streaming.windows."""
+    """Events and users by hour."""
     return _table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH:00").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+@query("select date_trunc('hour', ts) as start, event_type, count(*)::bigint n from events group by 1, 2")
+def q_windowed_counts(spark, sf_dir):
+    """The batch form of the counts that a stream keeps."""
+    rows = windowed_counts(_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"))
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # Plans
 
 
@@ -586,8 +636,149 @@ def q_repair_decisions(spark, sf_dir):
     return repair.decide(rows).select("path", "status")
 
 
-@query("select vec_id, (sum(trunc(x * 1000)::bigint) // count(*))::bigint mean_milli from (select vec_id, unnest(embedding)::double x from embeddings) group by vec_id having sum(trunc(x * 1000)::bigint) >= 0 union all select vec_id, -((-sum(trunc(x * 1000)::bigint)) // count(*))::bigint from (select vec_id, unnest(embedding)::double x from embeddings) group by vec_id having sum(trunc(x * 1000)::bigint) < 0")
+_PICTURE = [(0, 0, 0), (40, 3, 90), (80, 6, 180), (5, 250, 17)]
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content: a picture of four pixels for each document, its colour and three that follow from it."""
+    channel = lambda c, add: F.lpad(F.hex((F.col(c) + add) % 256), 2, "0")
+    body = F.concat(*[channel(c, add) for shift in _PICTURE for c, add in zip("rgb", shift)])
+    content = F.concat(F.lit(b"P6 4 1 255\n"), F.unhex(body))
+    return assets(spark, sf_dir).select("path", content.alias("content"))
+
+
+def _channel(c: str, k: int) -> str:
+    return " + ".join(f"({c} + {shift[k]}) % 256" for shift in _PICTURE)
+
+
+@query(f"select path, (({_channel('r', 0)}) // 4)::int r, (({_channel('g', 1)}) // 4)::int g, (({_channel('b', 2)}) // 4)::int b from files", "files")
 def q_mean_color(spark, sf_dir):
-    """The dominant colour of one cluster is the mean of the pixels, truncated; here of a vector's components."""
-    milli = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda acc, x: acc + (x.cast("double") * 1000).cast("bigint"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", (milli / F.size("embedding")).cast("bigint").alias("mean_milli"))
+    """The dominant colour of one cluster is the mean of the pixels, truncated; decoded from the pictures' bytes."""
+    return analyze.colors(pictures(spark, sf_dir)).select("path", "r", "g", "b")
+
+
+_WITH["two_colors"] = f"select path, least(a, b) first, greatest(a, b) last from (select path, {_COLOR} a, (select {_COLOR} from (select f.b r, f.r g, f.g b)) b from files f)"
+
+
+@query("select case when first = last then first else first || '_' || last end palette, count(*)::bigint n from two_colors group by 1", "files", "two_colors")
+def q_palette(spark, sf_dir):
+    """Of each file's colour and the one with its channels turned."""
+    turned = F.array(F.struct("r", "g", "b"), F.struct(F.col("b").alias("r"), F.col("r").alias("g"), F.col("g").alias("b")))
+    return moves.palette_groups(assets(spark, sf_dir).withColumn("colors", turned))
+
+
+@query(f"select 'move' op, '/flat/' || parse_filename(path) src, '/flat/' || {_COLOR} || '/' || parse_filename(path) dest from files where not (path like '%.cr2')", "files")
+def q_plan_color(spark, sf_dir):
+    flat = assets(spark, sf_dir).withColumn("path", F.concat(F.lit("/flat/"), S.filename("path")))
+    return moves.sort_by_color(flat, "/flat").select("op", "src", "dest")
+
+
+# Views, statistics and user decisions
+
+
+@query("select group_id::bigint group_id, max(case when rn = 1 then path end) best_path, count(*)::bigint n, string_agg(path, '|' order by rn, quality_score desc, path) paths from members group by group_id", *_MEMBERS)
+def q_nested_groups(spark, sf_dir):
+    rows = groups.nested(members(spark, sf_dir))
+    return rows.select("group_id", "best_path", F.size("images").cast("long").alias("n"), F.array_join(F.transform("images", lambda i: i["path"]), "|").alias("paths"))
+
+
+def _tenths(unit: int, name: str) -> str:
+    """Bytes in a unit with one decimal, halves up."""
+    t = f"((file_size * 20 + {unit}) // {2 * unit})"
+    return f"({t} // 10)::varchar || '.' || ({t} % 10)::varchar || ' {name}'"
+
+
+_SIZE = f"case when file_size < 1024 then file_size::varchar || '.0 B' when file_size < 1048576 then {_tenths(1024, 'KB')} when file_size < 1073741824 then {_tenths(1048576, 'MB')} else {_tenths(1073741824, 'GB')} end"
+
+
+@query(f"select path, parse_filename(path) filename, {_SIZE} file_size_formatted, width::varchar || 'x' || height::varchar resolution from assets", "files", "assets")
+def q_human_size(spark, sf_dir):
+    rows = assets(spark, sf_dir).withColumns({"format": F.lit("JPEG")})
+    return reports.image_view(rows).select("path", "filename", "file_size_formatted", "resolution")
+
+
+@query("select doc_id, format('{:,}', n_chars) shown, case when n_chars < 60 then n_chars::varchar || 's' when n_chars < 3600 then (n_chars // 60)::varchar || 'm ' || (n_chars % 60)::varchar || 's' else (n_chars // 3600)::varchar || 'h ' || (n_chars % 3600 // 60)::varchar || 'm' end as lasts from documents")
+def q_durations(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", S.with_separators("n_chars").alias("shown"), S.duration("n_chars").alias("lasts"))
+
+
+@query("select path, r r1, g g1, b b1 from files", "files")
+def q_parsed_rgb(spark, sf_dir):
+    """The colour as the cache has it, and back."""
+    rows = analyze.dominant_text(assets(spark, sf_dir)).withColumn("c", S.parsed_rgb("dominant_color"))
+    return rows.select("path", F.col("c.r").alias("r1"), F.col("c.g").alias("g1"), F.col("c.b").alias("b1"))
+
+
+@query("select url, case when length(p) <= 60 then p when 59 - length(d) - length(x) >= 1 then d || '/' || substr(s, 1, 59 - length(d) - length(x)) || x end short from (select url, '/keep/' || page_id::varchar d, '/keep/' || page_id::varchar || '/' || u || '.html' p, '.html' x, u s from (select page_id, url, regexp_replace(url, '[^a-z]', '-', 'g') u from pages))")
+def q_shortened_paths(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("/keep/"), F.col("page_id").cast("string"), F.lit("/"), F.regexp_replace("url", "[^a-z]", "-"), F.lit(".html"))
+    return rows.select("url", path.alias("path")).select("url", S.shortened("path", 60).alias("short"))
+
+
+@query("select path, group_id::bigint group_id, file_size, quality_score, error, width from members", *_MEMBERS)
+def q_json_round_trip(spark, sf_dir):
+    rows = members(spark, sf_dir).select("path", "group_id", "file_size", "quality_score", "error", "width")
+    return reports.from_json(reports.to_json(rows), rows.schema)
+
+
+@query("select path from assets where path > '/lib/src2' order by path limit 500", "files", "assets")
+def q_keyset_page(spark, sf_dir):
+    """The first 500 paths behind one."""
+    return reports.keyset_page(assets(spark, sf_dir).select("path"), "path", "/lib/src2")
+
+
+@query("select path from files where path like '/lib/src1/%' and (path like '%.png' or path like '%.tiff')", "files")
+def q_files_below(spark, sf_dir):
+    return files.by_extension(files.inside(assets(spark, sf_dir).select("path"), "/lib/src1"), [".png", ".tiff"])
+
+
+_WITH["outcomes"] = "select path src, case doc_id % 4 when 0 then 'error' when 1 then 'skipped' else 'done' end status, file_size, case when doc_id % 4 = 0 then 'no room for ' || doc_id::varchar end error from files"
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = _by_id(["error", "skipped", "done", "done"])
+    failed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("no room for "), F.col("doc_id").cast("string")))
+    return assets(spark, sf_dir).select(F.col("path").alias("src"), status.alias("status"), "file_size", failed.alias("error"))
+
+
+@query("select count(case when status = 'done' then 1 end)::bigint processed, count(case when status = 'error' then 1 end)::bigint errors, count(case when status = 'skipped' then 1 end)::bigint skipped, coalesce(sum(case when status = 'done' then file_size end), 0)::bigint space_saved from outcomes", "files", "outcomes")
+def q_action_statistics(spark, sf_dir):
+    return reports.action_statistics(_outcomes(spark, sf_dir))
+
+
+@query("select src path, error from outcomes where status = 'error'", "files", "outcomes")
+def q_error_details(spark, sf_dir):
+    return reports.error_details(_outcomes(spark, sf_dir))
+
+
+@query("select status, count(*)::bigint n from outcomes group by 1", "files", "outcomes")
+def q_status_counts(spark, sf_dir):
+    return reports.status_counts(_outcomes(spark, sf_dir))
+
+
+@query("select 'delete' op, path src from (select path, row_number() over (partition by group_id order by mtime desc, path) k from members) where k > 1", *_MEMBERS)
+def q_plan_delete_all_but_newest(spark, sf_dir):
+    """An action on the selections of a strategy, not on the best by score."""
+    rows = written(members(spark, sf_dir), "members")
+    return moves.act_on_duplicates(rows, "delete", selections=selection.select(rows, "newest")).select("op", "src")
+
+
+@query("select path src, case when path like '/lib/src1/%' then '/trash/' || parse_filename(path) end dest, case when path like '/lib/src1/%' then 'planned' else 'error' end status from members where rn > 1", *_MEMBERS)
+def q_plan_trash_selected(spark, sf_dir):
+    rows = written(members(spark, sf_dir), "members")
+    plan = moves.trash_selected(selection.select(rows), "/lib/src1", "/trash", spark.createDataFrame([], "path string"))
+    return plan.select("src", "dest", "status")
+
+
+@query("select 'move' op, case when path like '/lib/src1/%' then 'planned' else 'error' end status, count(*)::bigint n from members where rn > 1 group by 2", *_MEMBERS)
+def q_plan_statistics(spark, sf_dir):
+    rows = written(members(spark, sf_dir), "members")
+    return moves.plan_statistics(moves.trash_selected(selection.select(rows), "/lib/src1", "/trash", spark.createDataFrame([], "path string")))
+
+
+@query("select count(*)::bigint checked, count(case when doc_id % 5 = 0 then 1 end)::bigint clean, count(case when doc_id % 5 <> 0 then 1 end)::bigint others from files", "files")
+def q_repair_counts(spark, sf_dir):
+    rows = assets(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 5 == 0, "clean").otherwise(_by_id(["repaired", "quarantined", "skipped", "error"])))
+    found = repair.counts(rows)
+    return found.select("checked", "clean", (F.col("repaired") + F.col("quarantined") + F.col("skipped") + F.col("errors")).alias("others"))

@@ -13,7 +13,6 @@ DEFAULTS = {
     "index_from": INDEX_LEAST,
     "cache_days": CACHE_DAYS,
     "history_length": HISTORY_LENGTH,
-    "perceptual_most": 50_000,
     "cache": "~/.lookalike/cache",
     "session": "~/.lookalike/session.json",
     "history": "~/.lookalike/history.json",
@@ -27,6 +26,18 @@ class Config:
         self.env = os.environ if env is None else env
         self._read: dict | None = None
 
+    def migrate(self, legacy: str | Path) -> bool:
+        """Take over an older settings file, if there is one and none of our own yet."""
+        old = Path(legacy).expanduser()
+        if self.file.exists() or not old.is_file():
+            return False
+        self.file.parent.mkdir(parents=True, exist_ok=True)
+        draft = self.file.with_name(f"{self.file.name}.part-{os.getpid()}")
+        draft.write_bytes(old.read_bytes())
+        os.replace(draft, self.file)
+        self.reload()
+        return True
+
     def reload(self) -> None:
         self._read = None
 

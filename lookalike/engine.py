@@ -53,7 +53,7 @@ class Engine:
 
     # Scans
 
-    def scan(self, root: str, threshold: int = DEFAULT_THRESHOLD, exact_only: bool = False, perceptual_only: bool = False, recursive: bool = True, use_cache: bool = True, use_index: bool | None = None, strategy: str = "quality", link_exact: bool = False) -> Scan:
+    def scan(self, root: str, threshold: int = DEFAULT_THRESHOLD, exact_only: bool = False, perceptual_only: bool = False, recursive: bool = True, use_cache: bool = True, use_index: bool | None = None, strategy: str = "quality", link_exact: bool = False, target_recall: float | None = None, resolve: bool = False) -> Scan:
         wrong = checks.scan(root, threshold, exact_only, perceptual_only)
         if wrong:
             raise ValueError("; ".join(wrong))
@@ -65,7 +65,7 @@ class Engine:
         self.session.settings |= {"threshold": threshold, "exact_only": exact_only, "perceptual_only": perceptual_only, "recursive": recursive, "strategy": strategy}
         self.spark.sparkContext.setJobGroup(self._group, f"scan of {root}", interruptOnCancel=True)
         try:
-            return self._scan(root, threshold, exact_only, perceptual_only, recursive, use_cache, use_index, strategy, link_exact)
+            return self._scan(root, threshold, exact_only, perceptual_only, recursive, use_cache, use_index, strategy, link_exact, target_recall, resolve)
         except PySparkException as e:
             if not self.session.cancel_requested:
                 self.session.status, self.session.message = "error", str(e)[:500]
@@ -86,12 +86,13 @@ class Engine:
             raise Cancelled
         self.session.status, self.session.progress = status, progress
 
-    def _scan(self, root, threshold, exact_only, perceptual_only, recursive, use_cache, use_index, strategy, link_exact) -> Scan:
+    def _scan(self, root, threshold, exact_only, perceptual_only, recursive, use_cache, use_index, strategy, link_exact, target_recall, resolve) -> Scan:
         began = time.time()
         self._at("scanning", 0)
-        listing = written(files.images(self.spark, root, recursive), "listing")
+        found = files.images(self.spark, root, recursive)
+        listing = written(files.resolved(written(found, "found")) if resolve else found, "listing")
         self._at("analyzing", 20)
-        rows = self.analyzed(root, listing, recursive, use_cache, not exact_only)
+        rows = self.analyzed(root, listing, recursive, use_cache, not exact_only, resolve)
         self._at("comparing", 60)
         good = written(groups.valid_assets(rows), "valid")
         parts = []
@@ -100,24 +101,27 @@ class Engine:
         if not exact_only:
             last = parts[0].agg(F.coalesce(F.max("group_id"), F.lit(0))).first()[0] if parts else 0
             near = good if parts else good.withColumn("file_hash", F.lit(None).cast("string"))
-            parts.append(groups.perceptual_groups(near, threshold, start_id=last + 1, use_index=use_index, link_exact=link_exact))
+            parts.append(groups.perceptual_groups(near, threshold, start_id=last + 1, use_index=use_index, link_exact=link_exact, target_recall=target_recall))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         members = written(groups.ranked(written(found, "groups"), good), "ranked")
         self.cache.record_scan(root, rows.count(), time.time() - began)
         self._at("complete", 100)
         return Scan(rows, groups.failed_assets(rows), members, selection.select(members, strategy))
 
-    def analyzed(self, root: str, listing: DataFrame, recursive: bool = True, use_cache: bool = True, perceptual: bool = True) -> DataFrame:
-        """Rows of all files: the cache's for those that haven't changed, new ones for the others."""
-        contents = files.images(self.spark, root, recursive, content=True)
+    def analyzed(self, root: str, listing: DataFrame, recursive: bool = True, use_cache: bool = True, perceptual: bool = True, some: bool = False) -> DataFrame:
+        """Rows of all files: the cache's for those that haven't changed, new ones for the others. some: there are other images
+        than those of the listing."""
+        of = files.images(self.spark, root, recursive).count() if some else listing.count()
         if not use_cache:
-            return written(analyze.analyze(contents, perceptual).drop("corruption_type"), "analyzed")
+            return written(analyze.analyze(files.contents_of(self.spark, root, listing.select("path"), of, recursive), perceptual).drop("corruption_type"), "analyzed")
         looked = c.lookup(listing, self.cache.read())
         known = looked.filter("hit" if not perceptual else "hit and (perceptual_hash is not null or error is not null or format not in ('PNG', 'BMP', 'PPM'))")
         known = written(known.select(*[x for x in looked.columns if x != "hit"]), "known")
-        new = contents.join(known.select("path"), "path", "left_anti")
+        missing = written(listing.select("path").join(known.select("path"), "path", "left_anti"), "missing", narrow=True)
+        new = files.contents_of(self.spark, root, missing, of, recursive)
         fresh = written(analyze.analyze(new, perceptual).drop("corruption_type"), "analyzed")
-        self.cache.put(fresh)
+        if fresh.limit(1).count():
+            self.cache.put(fresh)
         return written(known.select(*fresh.columns).unionByName(fresh), "assets")
 
     def cancel(self) -> None:
@@ -158,8 +162,14 @@ class Engine:
 
     # Actions
 
+    def selections(self, scan: Scan) -> DataFrame:
+        """path and decision: those of the scan's strategy, and of the session where the user has chosen otherwise."""
+        own = self.spark.createDataFrame(list(self.session.selections.items()), "path string, _own string")
+        return scan.selections.join(own, "path", "left").select("path", F.coalesce("_own", "decision").alias("decision"))
+
     def act(self, scan: Scan, action: str, trash: str | None = None, dry_run: bool = True) -> DataFrame:
-        return execute.execute(moves.act_on_duplicates(scan.members, action, trash), dry_run)
+        """Acts on what the selections say is to be deleted."""
+        return execute.execute(moves.act_on_duplicates(scan.members, action, trash, self.selections(scan)), dry_run)
 
     def listing(self, root: str, recursive: bool = True) -> DataFrame:
         return written(files.files(self.spark, root, None, recursive), "listing")

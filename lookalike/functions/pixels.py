@@ -218,6 +218,45 @@ def _png(data: bytes, head: Header) -> np.ndarray:
     return _over_white(rgb, x[..., -1]) if channels in (2, 4) else rgb
 
 
+#: Share of its rows that a salvaged picture has at least.
+LEAST_LEFT = 0.5
+
+
+def salvaged(data: bytes) -> bytes:
+    """A cut or damaged PNG made whole: what can be unpacked of its rows, and the others empty. Raises Unreadable where less
+    than LEAST_LEFT of them are left; others than PNG come back as they are."""
+    if sniff(data) != "PNG":
+        return data
+    head = header(data)
+    depth, color, _, _, interlaced = struct.unpack_from(">BBBBB", data, 24)
+    if interlaced or color not in (0, 2, 3, 4, 6):
+        return data
+    at, packed, others = 33, [], []
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IDAT":
+            packed.append(body)
+        elif kind in (b"PLTE", b"tRNS"):
+            others.append((kind, body))
+        elif kind == b"IEND":
+            break
+        at += 12 + size
+    row = 1 + -(-head.width * {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color] * depth // 8)
+    unpack, raw = zlib.decompressobj(), b""
+    try:
+        for i in range(0, len(whole := b"".join(packed)), 1024):
+            raw += unpack.decompress(whole[i : i + 1024])
+    except zlib.error:
+        pass  # what came before the damage is there
+    rows = min(len(raw) // row, head.height)
+    if rows < LEAST_LEFT * head.height:
+        raise Unreadable(f"{rows} of {head.height} rows are left")
+    raw = raw[: rows * row] + bytes((head.height - rows) * row)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return data[:8] + chunk(b"IHDR", data[16:29]) + b"".join(chunk(k, b) for k, b in others) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
 def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
     """Rows of a PNG with their filters undone."""
     out = np.zeros((len(lines), lines.shape[1] - 1), np.uint8)

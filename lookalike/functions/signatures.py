@@ -4,7 +4,7 @@ text's tokens and the signs of a vector. All that works on signatures takes any
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -54,22 +54,43 @@ def _token_bits(token: str) -> bytes:
     return hashlib.sha256(token.encode()).digest()
 
 
+#: Distinct tokens whose bits are held at once.
+_TOKENS = 1 << 15
+
+
 def simhash_of(text: str | None) -> str | None:
     """Bit p is set if more distinct tokens (lower-cased, cut at blanks) have it in their SHA-256 than not."""
-    if text is None:
-        return None
-    tokens = sorted(set(text.lower().split(" ")))
-    total = np.zeros(256, np.int64)
-    for at in range(0, len(tokens), 4096):
-        part = tokens[at : at + 4096]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(_token_bits, part)), np.uint8)).reshape(len(part), 256)
-        total += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(tokens)).tobytes().hex()
+    return simhashes([text])[0]
+
+
+def simhashes(texts: Iterable[str | None]) -> list[str | None]:
+    """The same for many texts: the bits of a token are laid out once, a byte each, and added eight at a time."""
+    out: list[str | None] = []
+    known: dict[str, int] = {}
+    rows = np.zeros((_TOKENS, 32), np.uint64)
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        tokens = list(set(text.lower().split(" ")))
+        total = np.zeros(256, np.int64)
+        for at in range(0, len(tokens), 255):  # a byte counts up to 255
+            part = tokens[at : at + 255]
+            if len(known) + len(part) > _TOKENS:
+                known.clear()
+            new = [t for t in part if t not in known]
+            if new:
+                first = len(known)
+                known.update(zip(new, range(first, first + len(new))))
+                rows[first : first + len(new)] = np.unpackbits(np.frombuffer(b"".join(map(_token_bits, new)), np.uint8)).reshape(len(new), 256).view(np.uint64)
+            total += np.add.reduce(rows[[known[t] for t in part]], axis=0).view(np.uint8)
+        out.append(np.packbits(2 * total > len(tokens)).tobytes().hex())
+    return out
 
 
 def _simhashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(simhash_of)
+        yield pd.Series(simhashes(None if pd.isna(t) else t for t in batch), index=batch.index, dtype=object)
 
 
 def simhash(text: Column | str) -> Column:

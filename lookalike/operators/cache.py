@@ -1,12 +1,17 @@
 """The analysis cache: results by path, modification time and size, as a table in versions.
 
-A version is a folder of Parquet files, and a small pointer file names the current one, so readers never see half a
-write. Only the driver moves the pointer."""
+A version is a list of folders of Parquet files: a base, and what has been put or touched since, of which the last row of
+a path counts. A write adds one folder; after MOST_DELTAS of them, or where rows go, the whole is written anew. Each version
+is a small file with a number in its name, put there whole by a rename, and the highest number is the current one, so that
+readers see the version before or the one after and never half a write. Folders that the last KEPT versions don't name are
+removed, so a reader may finish on the version that it began with. A writer that finds its number taken, by another one,
+begins again on what that has written."""
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,8 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cache_key, hit_rate, under
 from ..schema import CACHE, CACHE_DAYS
+from ..storage import written
 
 SCHEMA_VERSION = 1
+#: Folders beside the base before they are written into one, and versions whose folders stay.
+MOST_DELTAS, KEPT = 8, 3
+_POINTER = "VERSION-"
 DAY = 86400.0
 _SCANS = "directory string, file_count long, scan_time double, created_at double"
 
@@ -104,62 +113,123 @@ class Cache:
     def _fs(self):
         return self._path("").getFileSystem(self._conf)
 
-    def _current(self) -> str | None:
-        pointer = self._path("CURRENT")
-        if not self._fs().exists(pointer):
-            return None
-        version, name = self.spark.read.text(f"{self.root}/CURRENT").first()[0].split(" ")
-        return name if int(version) >= SCHEMA_VERSION else None
+    def _numbers(self) -> list[int]:
+        """Of all versions that are there, ascending."""
+        fs, root = self._fs(), self._path("")
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n.removeprefix(_POINTER)) for n in names if n.startswith(_POINTER))
+
+    def _folders(self, number: int) -> list[str]:
+        """Of a version, the base first; none if another schema wrote it."""
+        stream = self._fs().open(self._path(f"{_POINTER}{number:012d}"))
+        try:
+            version, *names = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+        return names if int(version) >= SCHEMA_VERSION else []
+
+    def _current(self) -> tuple[int, list[str]]:
+        numbers = self._numbers()
+        return (numbers[-1], self._folders(numbers[-1])) if numbers else (0, [])
+
+    def _table(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], CACHE)
+        base, *deltas = (self.spark.read.schema(CACHE).parquet(f"{self.root}/{n}") for n in names)
+        if not deltas:
+            return base
+        parts = [d.withColumn("_at", F.lit(k)) for k, d in enumerate(deltas)]
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        last = both.groupBy("path").agg(F.max_by(F.struct(*CACHE.fieldNames()), "_at").alias("r")).select("r.*")
+        return base.join(last.select("path"), "path", "left_anti").select(*CACHE.fieldNames()).unionByName(last)
 
     def read(self) -> DataFrame:
-        name = self._current()
-        if name is None:
-            return self.spark.createDataFrame([], CACHE)
-        return self.spark.read.schema(CACHE).parquet(f"{self.root}/{name}")
+        return self._table(self._current()[1])
 
-    def replace(self, rows: DataFrame) -> None:
-        """rows become the table; the version before is removed."""
-        before, name = self._current(), f"v-{uuid.uuid4().hex}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in CACHE.fields]).write.parquet(f"{self.root}/{name}")
-        fs, draft = self._fs(), self._path(f"CURRENT-{name}")
-        out = fs.create(draft, True)
-        out.write(bytearray(f"{SCHEMA_VERSION} {name}\n".encode()))
+    def _point(self, number: int, names: list[str]) -> bool:
+        """The version of that number is these folders; False if there is one already."""
+        fs, draft, final = self._fs(), self._path(f"draft-{uuid.uuid4().hex}"), self._path(f"{_POINTER}{number:012d}")
+        out = fs.create(draft, False)
+        out.write(bytearray(" ".join([str(SCHEMA_VERSION), *names]).encode()))
         out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(draft, self._path("CURRENT"))
-        if before:
-            fs.delete(self._path(before), True)
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            return False
+        return True
+
+    def _remove_old(self) -> None:
+        fs, numbers = self._fs(), self._numbers()
+        stay = {n for k in numbers[-KEPT:] for n in self._folders(k)}
+        for k in numbers[:-KEPT]:
+            for n in self._folders(k):
+                if n not in stay:
+                    fs.delete(self._path(n), True)
+            fs.delete(self._path(f"{_POINTER}{k:012d}"), False)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"v-{uuid.uuid4().hex}"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in CACHE.fields]).write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _change(self, make: Callable[[DataFrame], DataFrame], whole: bool) -> None:
+        """make gives the new table (whole), or the rows to add, from the current one."""
+        while True:
+            number, names = self._current()
+            new = self._write(make(self._table(names)))
+            if whole or not names:
+                done = self._point(number + 1, [new])
+            elif len(names) <= MOST_DELTAS:
+                done = self._point(number + 1, [*names, new])
+            else:
+                one = self._write(self._table([*names, new]))
+                self._fs().delete(self._path(new), True)
+                new, done = one, self._point(number + 1, [one])
+            if done:
+                self._remove_old()
+                return
+            self._fs().delete(self._path(new), True)
+
+    def replace(self, rows: DataFrame) -> None:
+        """rows become the table."""
+        self._change(lambda _: rows, True)
 
     def put(self, rows: DataFrame, now: float | None = None) -> None:
         now = time.time() if now is None else now
         stamped = keyed(rows).withColumns({"created_at": F.lit(now), "last_accessed": F.lit(now)})
-        self.replace(upserted(self.read(), stamped))
+        stamped = written(stamped, "stamped")  # a second try writes the same
+        none = self.spark.createDataFrame([], CACHE)
+        self._change(lambda _: upserted(none, stamped), False)
 
     def touch(self, keys: DataFrame, now: float | None = None) -> None:
-        self.replace(touched(self.read(), keys.select("cache_key", F.lit(time.time() if now is None else now).alias("at"))))
+        at = keys.select("cache_key", F.lit(time.time() if now is None else now).alias("at"))
+        self._change(lambda table: touched(table.join(at.select("cache_key").distinct(), "cache_key", "left_semi"), at), False)
 
     def set_colors(self, colors: DataFrame) -> None:
-        self.replace(with_colors(self.read(), colors))
+        self._change(lambda table: with_colors(table.join(colors.select("path").distinct(), "path", "left_semi"), colors), False)
 
     def invalidate(self, path: str) -> None:
-        self.replace(without_path(self.read(), path))
+        self._change(lambda table: without_path(table, path), True)
 
     def invalidate_directory(self, directory: str) -> None:
-        self.replace(without_directory(self.read(), directory))
+        self._change(lambda table: without_directory(table, directory), True)
 
     def cleanup_stale(self, days: float = CACHE_DAYS, now: float | None = None) -> int:
         now = time.time() if now is None else now
         gone = stale(self.read(), now, days).count()
-        self.replace(fresh(self.read(), now, days))
+        self._change(lambda table: fresh(table, now, days), True)
         return gone
 
     def cleanup_missing(self, files: DataFrame) -> int:
         gone = missing(self.read(), files).count()
-        self.replace(present(self.read(), files))
+        self._change(lambda table: present(table, files), True)
         return gone
 
     def compact(self, files: int = 1) -> None:
-        self.replace(self.read().coalesce(files))
+        self._change(lambda table: table.coalesce(files), True)
 
     def clear(self) -> None:
         self._fs().delete(self._path(""), True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from math import comb
+from math import comb, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,13 @@ from ..schema import DEFAULT_THRESHOLD, HASH_BITS, INDEX_LEAST, INDEX_SEED, INDE
 from ..storage import written
 
 
+#: Share of the pairs at the threshold itself that the index finds at least, unless another one is asked for.
+RECALL = 0.99
+MOST_TABLES = 60
+#: Signatures of a block of all_pairs, about.
+PAIR_BLOCK = 4096
+
+
 def positions(tables: int, bits: int, hash_bits: int = HASH_BITS, seed: int = INDEX_SEED) -> list[list[int]]:
     """Sampled bit positions of each table, ascending; one generator for all tables."""
     rng = random.Random(seed)
@@ -29,9 +36,24 @@ def recall(tables: int, bits: int, at_distance: int, hash_bits: int = HASH_BITS)
     return 1 - (1 - comb(hash_bits - at_distance, bits) / comb(hash_bits, bits)) ** tables
 
 
-def tier_for_recall(bits: int, at_distance: int, target: float = 0.99, hash_bits: int = HASH_BITS, most: int = 400) -> tuple[int, int]:
-    """The least number of tables with that recall at the distance."""
-    return next(((t, bits) for t in range(1, most) if recall(t, bits, at_distance, hash_bits) >= target), (most, bits))
+def tier_for_recall(bits: int, at_distance: int, target: float = RECALL, hash_bits: int = HASH_BITS, most: int = MOST_TABLES) -> tuple[int, int]:
+    """The least number of tables with that recall at the distance. Where `most` tables don't reach it, fewer bits are
+    sampled, so that the recall is met at any distance."""
+    if at_distance >= hash_bits:
+        raise ValueError(f"no index finds signatures at a distance of {at_distance} of {hash_bits} bits")
+    for b in range(min(bits, hash_bits - at_distance), 0, -1):
+        if recall(most, b, at_distance, hash_bits) >= target:
+            return next((t, b) for t in range(1, most + 1) if recall(t, b, at_distance, hash_bits) >= target)
+    raise ValueError(f"a recall of {target} at a distance of {at_distance} is out of reach of {most} tables")
+
+
+def tables_for(n: int, at_distance: int, target: float = RECALL, hash_bits: int = HASH_BITS) -> tuple[int, int]:
+    """The tier of n signatures, with more tables or fewer bits if its recall at the distance is below the target."""
+    tables, bits = tier(n)
+    bits = min(bits, hash_bits)
+    if at_distance + bits <= hash_bits and recall(tables, bits, at_distance, hash_bits) >= target:
+        return tables, bits
+    return tier_for_recall(bits, at_distance, target, hash_bits)
 
 
 def estimate(n: int, tables: int = 20, bits: int = 16) -> dict[str, float]:
@@ -79,7 +101,9 @@ def all_pairs(signatures: DataFrame, threshold: int = DEFAULT_THRESHOLD, hash_bi
     """The same without an index, exact at any threshold. Every signature meets every block of the others once: rows are
     dealt to pairs of blocks, so that no task holds one side whole and nothing is broadcast."""
     valid = signatures.select("id", packed(valid_hash("signature", hash_bits), hash_bits).alias("words")).filter("words[0] is not null")
-    blocks = blocks or max(1, int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    if not blocks:  # of bounded size, and a pair of them for each task at least
+        parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(-(-signatures.count() // PAIR_BLOCK), isqrt(2 * parts))
     rows = valid.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.withColumn("j", other).filter("j >= block").select(F.col("block").alias("i"), "j", F.col("id").alias("x"), F.col("words").alias("wx"))
@@ -119,16 +143,14 @@ def pair_estimate(rows: DataFrame) -> DataFrame:
 
 def near_pairs(signatures: DataFrame, threshold: int = DEFAULT_THRESHOLD, hash_bits: int = HASH_BITS, use_index: bool | None = None, target_recall: float | None = None) -> DataFrame:
     """Pairs by all_pairs or by the index: unless said, the index from INDEX_LEAST signatures on. Tables and bits follow
-    the number of signatures, or the recall that is asked for at the threshold."""
+    the number of signatures and the threshold: the recall at the threshold is target_recall (RECALL) at least, whatever
+    their number, and an error says so if that can't be."""
     n = signatures.count() if use_index is None or use_index else 0
     if use_index is None:
         use_index = n >= INDEX_LEAST
     if not use_index:
         return all_pairs(signatures, threshold, hash_bits)
-    tables, bits = tier(n)
-    bits = min(bits, hash_bits)
-    if target_recall is not None:
-        tables, bits = tier_for_recall(bits, threshold, target_recall, hash_bits)
+    tables, bits = tables_for(n, threshold, RECALL if target_recall is None else target_recall, hash_bits)
     return indexed_pairs(signatures, threshold, tables, bits, hash_bits)
 
 

@@ -41,6 +41,11 @@ def action_statistics(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def error_details(outcomes: DataFrame, path: str = "src") -> DataFrame:
+    """path and error of each row that failed, by path."""
+    return outcomes.filter("status = 'error'").select(F.col(path).alias("path"), F.coalesce("error", F.lit("")).alias("error")).orderBy("path")
+
+
 def status_counts(rows: DataFrame, column: str = "status") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
@@ -106,9 +111,11 @@ def export_rows(members: DataFrame) -> DataFrame:
 
 
 def export_csv(members: DataFrame, path: str) -> None:
-    """A folder of one CSV file, quoted by the usual rules (quotes within a field are doubled)."""
+    """A folder of CSV files in the order of their names, one for a report of usual size; quoted by the usual rules (quotes
+    within a field are doubled)."""
     rows = export_rows(members).withColumn("score", F.col("quality_score")).withColumn("quality_score", F.format_string("%.1f", F.bround("quality_score", 1)))
-    rows.repartitionByRange(1, "group_id").sortWithinPartitions("group_id", "rn", F.col("score").desc_nulls_last(), "path").drop("rn", "score").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    order = ["group_id", "rn", F.col("score").desc_nulls_last(), "path"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("rn", "score").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def text_lines(members: DataFrame) -> DataFrame:
@@ -127,13 +134,14 @@ def text_lines(members: DataFrame) -> DataFrame:
 
 
 def export_txt(members: DataFrame, path: str, failed: DataFrame | None = None) -> None:
-    """A folder of one text file, with the files that could not be read at its end if they are given."""
+    """A folder of text files in the order of their names, one for a report of usual size, with the files that could not be
+    read at its end if they are given."""
     lines = text_lines(members)
     if failed is not None:
         title = members.sparkSession.createDataFrame([(3, 0, 0, f"\n\nFAILED FILES\n{'-' * 70}")], "part int, g long, line int, value string")
         broken = failed.select(F.lit(3).alias("part"), F.lit(1).cast("long").alias("g"), F.lit(0).alias("line"), F.concat(F.lit("  "), "path", F.lit(": "), "error").alias("value"))
         lines = lines.unionByName(title).unionByName(broken)
-    lines.repartitionByRange(1, "part", "g", "line").sortWithinPartitions("part", "g", "line", "value").select("value").write.mode("overwrite").text(path)
+    lines.repartitionByRange("part", "g", "line", "value").sortWithinPartitions("part", "g", "line", "value").select("value").write.mode("overwrite").text(path)
 
 
 def export_json(members: DataFrame, path: str) -> None:
@@ -149,14 +157,14 @@ def export(members: DataFrame, path: str, fmt: str = "txt") -> None:
     EXPORTS[fmt](members, path)
 
 
-def console(members: DataFrame, most_groups: int = 1000) -> str:
-    """The report for a terminal: totals and the groups, the best member first. It shows most_groups groups at most and
-    says how many there are."""
+def console(members: DataFrame, most_groups: int = 1000, most_lines: int = 10_000) -> str:
+    """The report for a terminal: totals and the groups, the best member first. It shows most_groups groups and most_lines
+    members at most and says how many there are; an export has them all."""
     total = statistics(members).first()
     shown = members.filter(F.col("group_id") <= members.agg(F.min("group_id")).first()[0] + most_groups - 1 if total["total_groups"] else F.lit(False))
     view = shown.select("match_type", "group_id", "rn", "path", "width", "height", human_size("file_size").alias("size"), F.bround("quality_score", 1).alias("score"))
     out, last = [], None
-    for r in view.orderBy("match_type", "group_id", "rn", F.col("score").desc_nulls_last(), "path").collect():
+    for r in view.orderBy("match_type", "group_id", "rn", F.col("score").desc_nulls_last(), "path").limit(most_lines).collect():
         if r["group_id"] != last:
             out.append(f"\nGroup {r['group_id']} ({r['match_type']}):")
             last = r["group_id"]

@@ -168,11 +168,73 @@ def exif_segment(text: str) -> bytes:
     return b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
 
 
+def _entries(tiff: bytes, at: int) -> tuple[list[bytes], int]:
+    """Entries (12 bytes each) of a TIFF directory, and the place of the next one."""
+    order = "little" if tiff[:2] == b"II" else "big"
+    n = int.from_bytes(tiff[at : at + 2], order)
+    end = at + 2 + 12 * n
+    if end + 4 > len(tiff):
+        raise pixels.Unreadable("TIFF directory is cut", "bad_exif")
+    return [tiff[at + 2 + 12 * i : at + 14 + 12 * i] for i in range(n)], int.from_bytes(tiff[end : end + 4], order)
+
+
+def dated_tiff(tiff: bytes, text: str) -> bytes:
+    """A TIFF (or the EXIF data of a JPEG) with the three date tags; all other data stays where it is. Tags that are there are
+    written over; for others both directories are written anew at the end."""
+    order = "little" if tiff[:2] == b"II" else "big"
+    value = text.encode("ascii") + b"\0"
+    number = lambda b: int.from_bytes(b, order)
+    as_bytes = lambda x, n: x.to_bytes(n, order)
+    first, following = _entries(tiff, number(tiff[4:8]))
+    pointer = next((number(e[8:12]) for e in first if number(e[:2]) == 0x8769), None)
+    second = _entries(tiff, pointer)[0] if pointer else []
+    found = [e for e in (*first, *second) if number(e[:2]) in (0x132, 0x9003, 0x9004) and number(e[4:8]) == len(value)]
+    if len(found) == 3 and all(number(e[8:12]) + len(value) <= len(tiff) for e in found):
+        out = bytearray(tiff)
+        for e in found:
+            out[number(e[8:12]) : number(e[8:12]) + len(value)] = value
+        return bytes(out)
+
+    def directory(entries: list[bytes], then: int) -> bytes:
+        entries = sorted(entries, key=lambda e: number(e[:2]))
+        return as_bytes(len(entries), 2) + b"".join(entries) + as_bytes(then, 4)
+
+    own = lambda tag, kind, n, at: as_bytes(tag, 2) + as_bytes(kind, 2) + as_bytes(n, 4) + as_bytes(at, 4)
+    tiff += bytes(len(tiff) % 2)
+    texts = len(tiff)
+    inner_at = texts + 3 * len(value)
+    inner = directory([e for e in second if number(e[:2]) not in (0x9003, 0x9004)] + [own(0x9003, 2, len(value), texts + len(value)), own(0x9004, 2, len(value), texts + 2 * len(value))], 0)
+    outer = directory([e for e in first if number(e[:2]) not in (0x132, 0x8769)] + [own(0x132, 2, len(value), texts), own(0x8769, 4, 1, inner_at)], following)
+    return tiff[:4] + as_bytes(inner_at + len(inner), 4) + tiff[8:] + value * 3 + inner + outer
+
+
+def _exif_of(data: bytes) -> bytes | None:
+    """The EXIF data of a JPEG, a TIFF of its own."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            return data[at + 10 : at + 2 + size]
+        at += 2 + size
+    return None
+
+
 def with_exif_dates(data: bytes, text: str) -> bytes:
-    """A JPEG with the three date tags instead of the EXIF data that it had."""
+    """A JPEG or TIFF with the three date tags; its other EXIF data is kept. EXIF data that is broken, or beyond the length of
+    a segment then, is replaced."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return dated_tiff(data, text)
     if data[:2] != b"\xff\xd8":
-        raise pixels.Unreadable("EXIF dates are written to JPEG files only", "invalid_format")
-    return data[:2] + exif_segment(text) + data[2:] if (plain := without_exif(data)) is data else plain[:2] + exif_segment(text) + plain[2:]
+        raise pixels.Unreadable("EXIF dates are written to JPEG and TIFF files only", "invalid_format")
+    plain, segment, known = without_exif(data), exif_segment(text), _exif_of(data)
+    if known is not None:
+        try:
+            body = b"Exif\0\0" + dated_tiff(known, text)
+            if len(body) + 2 <= 0xFFFF:
+                segment = b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
+        except (pixels.Unreadable, OverflowError):
+            pass  # the new segment takes its place
+    return plain[:2] + segment + plain[2:]
 
 
 def without_exif(data: bytes) -> bytes:
@@ -189,14 +251,9 @@ def without_exif(data: bytes) -> bytes:
 
 
 def exif_dates(data: bytes) -> dict[int, str]:
-    """Date tags of a JPEG's EXIF data by tag."""
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            return _dates(data[at + 10 : at + 2 + size])
-        at += 2 + size
-    return {}
+    """Date tags of a TIFF, or of a JPEG's EXIF data, by tag."""
+    found = data if data[:4] in (b"II*\0", b"MM\0*") else _exif_of(data)
+    return _dates(found) if found else {}
 
 
 def _dates(tiff: bytes) -> dict[int, str]:
@@ -242,13 +299,13 @@ _REPAIR = "path string, readable boolean, writable boolean, parent_writable bool
 
 
 def inspect(files: DataFrame, repair: bool = False) -> DataFrame:
-    """files: path. Permissions and damage of each file, and whether a repair works: the pixels that can be read written
-    again. Only with repair are files changed."""
+    """files: path. Permissions and damage of each file, and whether a repair works: the pixels that are left of a PNG, the
+    file without its EXIF data, the pixels written again. Only with repair are files changed."""
 
     def tried(path: str, kind: str) -> tuple[bool, list[str]]:
         data = Path(path).read_bytes()
         attempts = []
-        for name, change in (("strip-exif", without_exif), ("trim", lambda d: d)):
+        for name, change in (("partial", pixels.salvaged), ("strip-exif", without_exif), ("raw-pixels", lambda d: d)):
             attempts.append(name)
             try:
                 good = change(data)

@@ -177,11 +177,23 @@ def empty_folders(folders: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return dead.select(*planned("rmdir", F.col("path"), F.lit(None)), F.size(F.split("path", "/")).alias("depth")).orderBy(F.col("depth").desc(), "src")
 
 
-def act_on_duplicates(members: DataFrame, action: str, trash: str | None = None) -> DataFrame:
-    """members: of groups.ranked(). Deletes, moves to trash, or links every member but the best to the best."""
+def by_selections(members: DataFrame, selections: DataFrame) -> DataFrame:
+    """members with rn by decisions: 2 for what is to be deleted, 1 for all else, also what nothing is said of. In a group of
+    which all were to go, the best by score stays as it is: an action never empties a group. selections: path, decision."""
+    marked = members.join(selections.select("path", (F.col("decision") == "delete").alias("_goes")), "path", "left").withColumn("_goes", F.coalesce("_goes", F.lit(False)))
+    stays = marked.filter("not _goes").select("group_id").distinct().withColumn("_some", F.lit(True))
+    chosen = F.when(F.col("_some"), F.when(F.col("_goes"), 2).otherwise(1)).otherwise(F.col("rn"))
+    return marked.join(stays, "group_id", "left").withColumn("rn", chosen).drop("_goes", "_some")
+
+
+def act_on_duplicates(members: DataFrame, action: str, trash: str | None = None, selections: DataFrame | None = None) -> DataFrame:
+    """members: of groups.ranked(). Deletes, moves to trash, or links every member but the best to the best; with selections,
+    every member that is to be deleted, links to the least kept path."""
     if action not in ("delete", "move", "hardlink", "symlink"):
         raise ValueError(f"no action {action}")
-    best = members.filter("rn = 1").select("group_id", F.col("path").alias("best"))
+    if selections is not None:
+        members = written(by_selections(members, selections), "selected")
+    best = members.filter("rn = 1").groupBy("group_id").agg(F.min("path").alias("best"))
     extra = members.filter("rn > 1").join(best, "group_id")
     if action == "move":
         if not trash:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +45,38 @@ def images(spark: SparkSession, root: str, recursive: bool = True, content: bool
     return files(spark, root, wanted, recursive, content)
 
 
+#: Files that are opened by name at once.
+MOST_NAMED = 100_000
+
+
+def contents_of(spark: SparkSession, root: str, paths: DataFrame, of: int, recursive: bool = True) -> DataFrame:
+    """Files with content of the paths (path, each once), which are some of `of` images below root. Content is read before Spark
+    could filter by path, and a join would shuffle it, so the files are given to the source by name unless they are all."""
+    n = paths.count()
+    if n >= of:
+        return images(spark, root, recursive, content=True)
+    scheme = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?)?", root)[0]
+    out = None
+    rows = paths.toLocalIterator()
+    while names := [scheme + re.sub(r"([\\*?{}\[\]])", r"\\\1", r["path"]) for r in islice(rows, MOST_NAMED)]:  # no name is a pattern
+        part = _plain(spark.read.format("binaryFile").load(names)).select("path", "mtime", "file_size", "content")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "path string, mtime double, file_size long, content binary") if out is None else out
+
+
+def resolved(listing: DataFrame) -> DataFrame:
+    """listing with each file once: of paths that symbolic links lead to one file, the file's own, or the least of them if it is
+    not listed. For folders that the executors have mounted."""
+
+    @F.pandas_udf("string")
+    def real(path: pd.Series) -> pd.Series:
+        return path.map(os.path.realpath)
+
+    rows = listing.withColumn("_real", real("path"))
+    best = F.min(F.struct((F.col("path") != F.col("_real")).alias("linked"), "path"))["path"]
+    return rows.drop("_real").join(rows.groupBy("_real").agg(best.alias("path")).select("path"), "path", "left_semi")
+
+
 def find_files(spark: SparkSession, root: str, extensions: list[str], recursive: bool = True) -> DataFrame:
     """Paths in order, without files whose name begins with a dot."""
     return files(spark, root, extensions, recursive, hidden=False).select("path").orderBy("path")

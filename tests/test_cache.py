@@ -57,6 +57,44 @@ def test_maintenance(spark, store):
     assert store.read().count() == 0
 
 
+def test_a_reader_keeps_its_version(spark, store):
+    """Rows that a lazy reader began with stay readable while others write, and a write reads as a whole."""
+    store.put(rows(spark, ("/a", 1.0, 10), ("/b", 1.0, 20)), now=1.0)
+    before = store.read()
+    store.put(rows(spark, ("/a", 2.0, 11)), now=2.0)
+    store.invalidate("/b")
+    assert {(r["path"], r["file_size"]) for r in before.collect()} == {("/a", 10), ("/b", 20)}
+    assert {(r["path"], r["file_size"]) for r in store.read().collect()} == {("/a", 11)}
+
+
+def test_writes_add_folders_and_are_gathered(spark, store):
+    for k in range(c.MOST_DELTAS + 4):
+        store.put(rows(spark, (f"/p{k}", 1.0, k), ("/same", float(k), k)), now=float(k))
+        number, folders = store._current()
+        assert number == k + 1 and 1 <= len(folders) <= c.MOST_DELTAS + 1
+    found = {r["path"]: (r["file_size"], r["mtime"]) for r in store.read().collect()}
+    assert len(found) == c.MOST_DELTAS + 5 and found["/same"] == (c.MOST_DELTAS + 3, float(c.MOST_DELTAS + 3))
+    store.touch(store.read().filter("path = '/p0'").select("cache_key"), now=99.0)
+    assert {r["path"]: r["last_accessed"] for r in store.read().collect()}["/p0"] == 99.0
+    assert len(store._numbers()) <= c.KEPT + 1
+
+
+def test_two_writers(spark, store, monkeypatch):
+    """A writer whose number has been taken begins again, on what the other one wrote."""
+    store.put(rows(spark, ("/a", 1.0, 1)), now=1.0)
+    other, point, tries = c.Cache(spark, store.root), store._point, []
+
+    def late(number, names):
+        if not tries:
+            tries.append(number)
+            other.put(rows(spark, ("/b", 1.0, 2)), now=2.0)
+        return point(number, names)
+
+    monkeypatch.setattr(store, "_point", late)
+    store.put(rows(spark, ("/c", 1.0, 3)), now=3.0)
+    assert {r["path"] for r in store.read().collect()} == {"/a", "/b", "/c"}
+
+
 def members(spark):
     data = [(1, "exact", "/p/b.jpg", 5, 30.0, 1.0, 1), (1, "exact", "/p/a.jpg", 9, 20.0, None, 2), (2, "perceptual", '/q/"x", y.png', 7, 10.0, 3.0, 1), (2, "perceptual", "/q/c.png", 7, 5.0, 2.0, 2), (2, "perceptual", "/q/d.png", 1, 5.0, 9.0, 3)]
     return spark.createDataFrame(data, "group_id long, match_type string, path string, file_size long, quality_score double, mtime double, rn int").withColumns({"width": F.lit(4), "height": F.lit(3), "pixel_count": F.lit(12), "format": F.lit("PNG"), "error": F.lit(None).cast("string")})

@@ -34,6 +34,40 @@ def test_listing(spark, tree):
     assert "content" not in files.images(spark, str(tree)).columns
 
 
+def test_a_cached_rescan_opens_no_file(spark, tree, tmp_path, monkeypatch):
+    engine = Engine(spark, cache=f"file://{tmp_path}/cache")
+    engine.scan(str(tree))
+    opened = []
+    real = files.images
+    monkeypatch.setattr(files, "images", lambda *a, content=False, **k: (opened.append(content), real(*a, content=content, **k))[1])
+    listing = files.images(spark, str(tree))
+    assert engine.analyzed(str(tree), listing).count() == 7 and not any(opened)
+    (tree / "ne[w] {1}.png").write_bytes((tree / "small.png").read_bytes())
+    got = engine.analyzed(str(tree), files.images(spark, str(tree))).collect()
+    assert len(got) == 8 and names(r for r in got if r["file_size"]) >= {"ne[w] {1}.png"} and not any(opened)
+    alone = files.resolved(files.images(spark, str(tree))).count()
+    (tree / "link.png").symlink_to(tree / "one.png")
+    assert files.images(spark, str(tree)).count() == 9 and files.resolved(files.images(spark, str(tree))).count() == alone == 8
+    assert engine.scan(str(tree), use_cache=False, resolve=True).assets.count() == 8
+    new = files.contents_of(spark, f"file://{tree}", spark.createDataFrame([(f"{tree}/ne[w] {{1}}.png",)], "path string"), 8)
+    assert new.count() == 1 and len(new.inputFiles()) == 1
+
+
+def test_actions_follow_the_strategy(spark, tree, tmp_path):
+    import os
+
+    os.utime(tree / "one.png", (1e9, 1e9))
+    os.utime(tree / "sub/two.PNG", (2e9, 2e9))
+    engine = Engine(spark, cache=f"file://{tmp_path}/cache")
+    gone = lambda s: {r["src"].rsplit("/", 1)[1] for r in engine.act(engine.scan(str(tree), exact_only=True, strategy=s), "delete").collect()}
+    assert gone("newest") == {"one.png"} and gone("oldest") == {"two.PNG"}
+    found = engine.scan(str(tree), exact_only=True, strategy="newest")
+    engine.session.selections = {f"{tree}/sub/two.PNG": "delete", f"{tree}/one.png": "keep"}
+    assert {r["src"] for r in engine.act(found, "delete").collect()} == {f"{tree}/sub/two.PNG"}
+    engine.session.selections = {f"{tree}/sub/two.PNG": "delete", f"{tree}/one.png": "delete"}  # a group is never emptied
+    assert engine.act(found, "hardlink").count() == 1
+
+
 def test_scan_select_and_act(spark, tree, tmp_path):
     engine = Engine(spark, cache=f"file://{tmp_path}/cache")
     found = engine.scan(str(tree))

@@ -47,6 +47,34 @@ def test_index_finds_a_part_of_all_pairs_and_most(spark):
     assert got <= brute(rows, 10) and len(got) >= 0.99 * len(brute(rows, 10))
 
 
+@pytest.mark.parametrize("threshold", [25, 40])
+def test_recall_is_met_at_any_threshold(spark, threshold):
+    """Measured against all pairs, half of them at the threshold itself."""
+    rng = random.Random(threshold)
+    rows = []
+    for i in range(150):
+        x = rng.getrandbits(256)
+        y = x
+        for p in rng.sample(range(256), rng.choice([threshold, threshold, rng.randint(0, threshold)])):
+            y ^= 1 << p
+        rows += [(2 * i, f"{x:064x}"), (2 * i + 1, f"{y:064x}")]
+    df = spark.createDataFrame(rows, "id long, signature string")
+    exact = {tuple(r) for r in index.all_pairs(df, threshold).collect()}
+    found = {tuple(r) for r in index.near_pairs(df, threshold, use_index=True).collect()}
+    assert found <= exact and len(exact) >= 150 and len(found) >= 0.96 * len(exact)
+    for n in (100, 60_000, 10**7):
+        tables, bits = index.tables_for(n, threshold)
+        assert index.recall(tables, bits, threshold) >= 0.99 and tables <= index.MOST_TABLES
+    assert index.tables_for(650_000, 10) == index.tier(650_000)
+
+
+def test_recall_out_of_reach():
+    with pytest.raises(ValueError):
+        index.tables_for(1000, 256)
+    with pytest.raises(ValueError):
+        index.tier_for_recall(8, 250, 0.999999)
+
+
 def test_malformed_signatures_are_left_out(spark):
     df = spark.createDataFrame([(1, "xyz"), (2, None), (3, "0" * 64), (4, "0" * 64), (5, "0" * 63)], "id long, signature string")
     assert {tuple(r) for r in index.all_pairs(df, 0).collect()} == {(3, 4, 0)}

@@ -6,7 +6,8 @@ import pytest
 
 from lookalike.functions import pixels as P
 from lookalike.functions.signatures import simhash_of
-from lookalike.plans.execute import exif_dates, with_exif_dates, without_exif
+from lookalike.plans import execute
+from lookalike.plans.execute import dated_tiff, exif_dates, with_exif_dates, without_exif
 from lookalike.sources.analyze import look
 
 
@@ -133,6 +134,47 @@ def test_look(pictures):
     assert look(b"text")[5] == "Not a valid image file" and look(None)[5] == "File not found" and look(good, "/a.heic")[5]
 
 
+@pytest.mark.parametrize("order, magic", [("little", b"II*\0"), ("big", b"MM\0*")])
+def test_exif_dates_keep_other_data(order, magic, pictures):
+    """Of a TIFF, and of a JPEG whose EXIF data is that TIFF."""
+    n = lambda x, k: x.to_bytes(k, order)
+    entries = [(0x10E, 2, 6, 50), (0x8769, 4, 1, 60)]
+    tiff = magic + n(8, 4) + n(len(entries), 2) + b"".join(n(t, 2) + n(k, 2) + n(c, 4) + n(v, 4) for t, k, c, v in entries) + n(0, 4)
+    tiff += bytes(50 - len(tiff)) + b"about\0" + bytes(4) + n(1, 2) + n(0x9286, 2) + n(2, 2) + n(4, 4) + b"abc\0" + n(0, 4)
+    dated = dated_tiff(tiff, "2020:01:02 03:04:05")
+    assert exif_dates(dated) == dict.fromkeys((0x132, 0x9003, 0x9004), "2020:01:02 03:04:05")
+    tags = lambda e: [int.from_bytes(x[:2], order) for x in e]
+    first = execute._entries(dated, int.from_bytes(dated[4:8], order))[0]
+    assert tags(first) == [0x10E, 0x132, 0x8769] and dated[50:56] == b"about\0"
+    inner = execute._entries(dated, int.from_bytes(first[2][8:12], order))[0]
+    assert tags(inner) == [0x9003, 0x9004, 0x9286] and inner[2][8:] == b"abc\0"
+    again = dated_tiff(dated, "2021:01:02 03:04:05")
+    assert len(again) == len(dated) and set(exif_dates(again).values()) == {"2021:01:02 03:04:05"}
+    body = b"Exif\0\0" + tiff
+    plain = P.encode_jpeg(pictures(1, 32))
+    photo = plain[:2] + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + plain[2:]
+    changed = with_exif_dates(photo, "2020:01:02 03:04:05")
+    assert len(exif_dates(changed)) == 3 and b"about\0" in changed and without_exif(changed) == plain
+    broken = plain[:2] + b"\xff\xe1" + (16).to_bytes(2, "big") + b"Exif\0\0" + tiff[:8] + plain[2:]
+    assert len(exif_dates(with_exif_dates(broken, "2020:01:02 03:04:05"))) == 3
+    with pytest.raises(P.Unreadable):
+        with_exif_dates(b"GIF89a", "2020:01:02 03:04:05")
+
+
+def test_what_is_left_of_a_png(pictures):
+    whole = pictures(3, 64)
+    data = P.encode_png(whole)
+    cut = data[: int(len(data) * 0.8)]
+    with pytest.raises(P.Unreadable):
+        P.pixels(cut)
+    got = P.pixels(P.salvaged(cut))
+    rows = int((got == whole).all(axis=(1, 2)).sum())
+    assert got.shape == whole.shape and 32 <= rows < 64 and (got[:rows] == whole[:rows]).all() and not got[rows + 1 :].any()
+    with pytest.raises(P.Unreadable):
+        P.salvaged(data[: len(data) // 4])
+    assert (P.pixels(P.salvaged(data)) == whole).all() and P.salvaged(b"BMx") == b"BMx"
+
+
 def test_exif_dates_replace_each_other():
     plain = b"\xff\xd8\xff\xdb\x00\x04ab\xff\xda\x00\x02rest"
     once = with_exif_dates(plain, "2020:01:02 03:04:05")

@@ -25,6 +25,23 @@ def test_names_are_free_and_no_other_s(spark):
     assert len(got) == 5 and len(set(dests)) == 5 and not {"/d/a.jpg", "/d/a_2.jpg"} & set(dests) and "/d/b" in dests and "/d/a_1.jpg" in dests
 
 
+def test_settings_of_an_older_folder(tmp_path):
+    old, new = tmp_path / "old.json", Config(str(tmp_path / "new" / "config.json"), {})
+    assert not new.migrate(old)
+    old.write_text('{"threshold": 3}')
+    assert new.migrate(old) and new.get("threshold") == 3
+    old.write_text('{"threshold": 4}')
+    assert not new.migrate(old) and new.get("threshold") == 3
+
+
+def test_one_name_for_all(spark):
+    """Many files of one name, some numbers taken; rounds go on until all are placed."""
+    plan = spark.createDataFrame([(f"/s/{i:04d}/a.jpg", "/d/a.jpg") for i in range(400)] + [(f"/t/{i:02d}/a_{i}.jpg", f"/d/a_{i}.jpg") for i in range(1, 60)], "src string, dest string").repartition(5)
+    got = names.reserved(plan, listing(spark, "/d/a.jpg", *(f"/d/a_{i}.jpg" for i in range(390, 420)))).collect()
+    dests = {r["dest"] for r in got}
+    assert len(got) == len(dests) == 459 and not dests & {"/d/a.jpg", *(f"/d/a_{i}.jpg" for i in range(390, 420))}
+
+
 def test_move_to_parent(spark):
     plan = moves.move_to_parent(listing(spark, "/r/a.jpg", "/r/x/a.jpg", "/r/y/a.jpg", "/r/y/c.txt", "/rz/q.jpg"), "/r", [".jpg"])
     assert pairs(plan) == {("/r/x/a.jpg", "/r/a_1.jpg"), ("/r/y/a.jpg", "/r/a_2.jpg")} or pairs(plan) == {("/r/x/a.jpg", "/r/a_2.jpg"), ("/r/y/a.jpg", "/r/a_1.jpg")}
