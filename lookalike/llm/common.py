@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..storage import fresh_path, shared_folder
 from ..storage import written as stash
 
-__all__ = ["as_long", "chunks", "fresh_path", "gathered", "publish", "raw_strings", "release", "runs", "stash", "table", "tune"]
+__all__ = ["as_long", "by_key", "chunks", "fresh_path", "gathered", "publish", "raw_strings", "release", "runs", "stash", "table", "tune"]
 
 #: Rows of one Arrow batch between the JVM and a Python worker: texts are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1024
@@ -49,6 +49,12 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """The smaller side of a join of texts or of what is as large: it is shuffled at any size. Where one size broadcasts it and
+    another does not, the larger one moves a multiple, and figures of the smaller say nothing of it."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

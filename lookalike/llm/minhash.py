@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import chunks, runs, stash, tune
+from .common import by_key, chunks, runs, stash, tune
 from .words import mix, shingles, split
 
 SHINGLE = 5
@@ -100,11 +100,11 @@ def clusters(reps: DataFrame) -> DataFrame:
     """node and component of the sets (_id, _a, _b) that share a table's bucket with another."""
     keys = reps.select("_id", F.explode("_a").alias("_a"))
     shared = stash(keys.groupBy("_a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("_a"), "band-keys", few=True)
-    few = keys.join(shared, "_a").groupBy("_id").agg(F.collect_set("_a").alias("_a"))
+    few = keys.join(by_key(shared), "_a").groupBy("_id").agg(F.collect_set("_a").alias("_a"))
     few = stash(few.join(reps.select("_id", "_b"), "_id"), "band-rows", few=True)
     tables = few.select("_id", F.explode("_a").alias("_a"), "_b").select("_id", "_a", F.explode("_b").alias("_b")).select("_id", F.xxhash64("_a", "_b").alias("_table"))
     hubs = stash(tables.groupBy("_table").agg(F.min("_id").alias("a"), F.max("_id").alias("hi")).filter("a < hi").select("_table", "a"), "tables", few=True)
-    return connected_components(tables.join(hubs, "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct(), "a", "b")
+    return connected_components(tables.join(by_key(hubs), "_table").filter("_id > a").select("a", F.col("_id").alias("b")).distinct(), "a", "b")
 
 
 def _block_of(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def joined(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text:
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     sized = members.join(stash(sizes, "cluster-sizes", narrow=True), "component").join(reps.select("_node", "_id", "_key"), F.col("node") == F.col("_node"))
     sized = stash(sized.select("_id", "_key", "_node", F.col("component").alias("_cluster"), "_blocks"), "members", narrow=True)
-    rows = docs.select(_order(key), _digest(text), F.col(text).alias("_text")).join(sized, ["_id", "_key"])
+    rows = docs.select(_order(key), _digest(text), F.col(text).alias("_text")).join(by_key(sized), ["_id", "_key"])
     rows = rows.groupBy(F.col("_node").alias("_id"), "_cluster", "_blocks").agg(F.first("_text").alias("_text"))  # a row may be there twice
     sets = stash(_sets(rows, size), "shingle-sets")
     slim = [F.col(c) for c in ("_id", "_cluster", "_items", "_sketch")]
@@ -232,7 +232,7 @@ def _judged(docs: DataFrame, key: str, text: str, percent: int, size: int) -> Da
     tune(docs.sparkSession)
     signed = stash(_signed(docs, key, text, size).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     nodes = stash(signed.filter("_n > 0").groupBy("_set").agg(F.min("_row").alias("_node")), "sets", few=True)
-    reps = stash(signed.join(nodes, "_set").filter("_row = _node").select("_node", "_id", "_key", "_a", "_b"), "representatives")
+    reps = stash(signed.join(by_key(nodes), "_set").filter("_row = _node").select("_node", "_id", "_key", "_a", "_b"), "representatives")
     members = clusters(reps.select(F.col("_node").alias("_id"), "_a", "_b"))
     near, further = joined(docs, members, reps, key, text, size, percent)
     groups = nodes.join(near, nodes["_node"] == near["node"], "left").select("_set", F.coalesce("component", "_node").alias("_near"))
@@ -259,6 +259,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     found = found.withColumn("_stays", (F.col("_at") == F.col("_least")) & (F.col("_of") == F.col("_least_key")))
     found = stash(found.filter("not _stays or _rows > 1").select("_at", "_of", "_stays"), "not-kept", few=True)
     same = (_order(docs[key]) == F.col("_at")) & (_digest(docs[text]) == F.col("_of"))
-    once = docs.join(found, same, "left_anti")
-    several = docs.select("*").join(found.filter("_stays"), same).groupBy("_at", "_of").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_doc"))
+    once = docs.join(by_key(found), same, "left_anti")
+    several = docs.select("*").join(by_key(found.filter("_stays")), same).groupBy("_at", "_of").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_doc"))
     return once.unionByName(several.select(*[F.col("_doc")[c].alias(c) for c in docs.columns]))

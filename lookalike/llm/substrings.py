@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, stash, tune
+from .common import by_key, gathered, stash, tune
 from .words import Words, mix, split, window_hashes, word_hashes
 
 LENGTH = 50
@@ -254,25 +254,25 @@ def _dedup(docs: DataFrame, key: str, text: str, length: int, finish, shortest:
 
     marks = stash(rows.select("_id", "_tk", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_md5")), "text-digests")
     firsts = stash(_shared(marks, "_md5"), "text-firsts", few=True)
-    copies = marks.join(firsts, "_md5").filter("_id > _least").select("_id", "_tk").distinct()
+    copies = marks.join(by_key(firsts), "_md5").filter("_id > _least").select("_id", "_tk").distinct()
 
     seen, before = None, None
     for part in levels(length, shortest)[:-1]:
-        state = rows if seen is None else rows.join(seen, ["_id", "_tk"])
+        state = rows if seen is None else rows.join(by_key(seen), ["_id", "_tk"])
         anchors = stash(_anchors(state, length, part, before), f"stretches-{part}")
         several = stash(_shared(anchors.filter("not _done"), "_h").select("_h"), f"shared-{part}", few=True)
-        repeated = anchors.filter("_done").unionByName(anchors.filter("not _done and size(_at) > 0").join(several, "_h"))
+        repeated = anchors.filter("_done").unionByName(anchors.filter("not _done and size(_at) > 0").join(by_key(several), "_h"))
         seen, before = stash(_places(repeated, "_seen"), f"seen-{part}"), part
         if not seen.limit(1).count():
             break
     told = stash(copies.withColumn("_copy", F.lit(True)).join(seen, ["_id", "_tk"], "full"), "told")
-    state = rows.join(told, ["_id", "_tk"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
+    state = rows.join(by_key(told), ["_id", "_tk"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
     open_rows = stash(_candidates(state, length, before, finish), "windows")
 
     windows = open_rows.filter(F.size("_h") > 0).select("_id", "_tk", F.explode(F.arrays_zip("_h", "_g", "_at")).alias("w")).select("_id", "_tk", "w._h", "w._g", "w._at")
     least = stash(_shared(windows, "_h", "_g"), "shared-windows", few=True)
-    more = stash(_places(windows.join(least, ["_h", "_g"]).filter("_id > _least"), "_more"), "covered")
-    left = open_rows.filter("_kept is null").select("_id", "_tk", "_n", "_text", "_covered").join(more, ["_id", "_tk"], "left")
+    more = stash(_places(windows.join(by_key(least), ["_h", "_g"]).filter("_id > _least"), "_more"), "covered")
+    left = open_rows.filter("_kept is null").select("_id", "_tk", "_n", "_text", "_covered").join(by_key(more), ["_id", "_tk"], "left")
     ready = open_rows.filter("_kept is not null").select("_id", "_tk", "_n", "_removed", "_kept")
     return ready.unionByName(_finished(left, length, finish))
 
@@ -294,7 +294,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     found = _dedup(docs, key, text, length, _cut, shortest).filter("_removed > 0").select("_id", "_tk", "_n", "_removed", F.col("_kept").cast("string").alias("_new")).dropDuplicates(["_id", "_tk"])
     tk = F.xxhash64(F.col(text))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_id"), tk.alias("_tk"))
-    joined = packed.join(found, ["_id", "_tk"], "left")
+    joined = packed.join(by_key(found), ["_id", "_tk"], "left")
     kept = joined.filter(F.col("_removed").isNull() | (F.col("_removed") < F.col("_n")))
     changed = F.col("_removed").isNotNull()
     new = {text: F.when(changed, F.col("_new")).otherwise(F.col("_row")[text])}
