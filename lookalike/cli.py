@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--index", choices=["auto", "always", "never"], default="auto")
     s.add_argument("--strategy", default="quality")
     s.add_argument("--recall", type=float, help="share of the pairs at the threshold that the index finds at least")
+    s.add_argument("--resolve", action="store_true", help="files that symbolic links lead to count once")
     s.add_argument("--export")
     s.add_argument("--format", choices=["txt", "csv", "json"], default="txt")
     s.add_argument("--action", choices=["delete", "move", "hardlink", "symlink"])
@@ -95,7 +96,7 @@ def run(args: argparse.Namespace, spark) -> int:
         return 1 if counts.get("error") else 0
 
     if args.command == "duplicates":
-        found = engine.scan(root, args.threshold, args.exact_only, args.perceptual_only, deep, not args.no_cache, {"auto": None, "always": True, "never": False}[args.index], args.strategy, target_recall=args.recall)
+        found = engine.scan(root, args.threshold, args.exact_only, args.perceptual_only, deep, not args.no_cache, {"auto": None, "always": True, "never": False}[args.index], args.strategy, target_recall=args.recall, resolve=args.resolve)
         print(reports.console(found.members))
         if args.export:
             engine.export(found, args.export, args.format)

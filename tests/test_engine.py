@@ -34,6 +34,18 @@ def test_listing(spark, tree):
     assert "content" not in files.images(spark, str(tree)).columns
 
 
+def test_a_cluster_needs_the_shared_folder():
+    from types import SimpleNamespace
+
+    from lookalike.storage import shared_folder
+
+    at = lambda master, folder: shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master, applicationId="app-1")))
+    assert at("spark://host:7077", "hdfs:///shared/") == "hdfs:///shared/lookalike-app-1"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            at(master, None)
+
+
 def test_a_cached_rescan_opens_no_file(spark, tree, tmp_path, monkeypatch):
     engine = Engine(spark, cache=f"file://{tmp_path}/cache")
     engine.scan(str(tree))
