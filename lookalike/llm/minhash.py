@@ -13,9 +13,9 @@ The buckets' documents are linked to the least of each bucket and give clusters,
 is cut into blocks of some BLOCK documents by a hash of the node, and some HUBS of its documents are sent to every block. A
 block's task finds a spanning forest of the links among its documents and the hubs: it compares short sketches of all pairs,
 then the full sets of those that may reach the similarity and aren't joined by others already. Near copies of one text are
-joined through the hubs by now. What is not part of a cluster's largest component, the rest, then meets every block once,
-in blocks of its own, so that each pair that is not joined yet is compared: a cluster of n documents with a rest of r ships
-some n + n / BLOCK * r sets. Nothing is left out: the work grows with the square of a cluster only if most of it is not alike.
+joined through the hubs by now. What is not part of a cluster's largest component, the rest, then meets all documents in
+larger blocks, so that each pair that is not joined yet is compared: a cluster of n documents with a rest of r ships
+some n + 2 n r / REST_BLOCK sets. Nothing is left out: the work grows with the square of a cluster only if most of it is not alike.
 No list of pairs is ever made, and the hot group of near copies is many tasks.
 
 Defined cases: null and empty texts are empty sets, linked with nothing; fewer words than a shingle has are one shingle;
@@ -40,6 +40,8 @@ SHINGLE = 5
 PARTS = 20
 ROWS = 4
 BLOCK = 64
+#: Documents of a block of those that are compared with all others, and of a block of the others.
+REST_BLOCK = 256
 #: Documents that meet all blocks of their cluster, about.
 HUBS = 12
 BATCH_BYTES = 2 << 20
@@ -215,15 +217,16 @@ def joined(docs: DataFrame, members: DataFrame, reps: DataFrame, key: str, text:
     many = stash(many, "joined", narrow=True)
     counts = many.groupBy("_cluster", "_blocks", "_group").agg(F.count("*").alias("_n"))
     counts = counts.groupBy("_cluster", "_blocks").agg(F.max(F.struct("_n", "_group"))["_group"].alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
-    counts = counts.filter("_all > _most").select("_cluster", "_largest", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_parts"))
+    counts = counts.filter("_all > _most").select("_cluster", "_largest", F.ceil(F.col("_all") / REST_BLOCK).cast("int").alias("_wide"), F.ceil((F.col("_all") - F.col("_most")) / REST_BLOCK).cast("int").alias("_parts"))
     counts = stash(counts, "rests", narrow=True)
     if not counts.limit(1).count():
         return near, near.limit(0)
-    rest = stash(many.join(counts, "_cluster").select("_id", "_cluster", "_group", (F.col("_group") != F.col("_largest")).alias("_rest"), "_parts"), "rest", narrow=True)
+    rest = stash(many.join(counts, "_cluster").select("_id", "_cluster", "_group", (F.col("_group") != F.col("_largest")).alias("_rest"), "_wide", "_parts"), "rest", narrow=True)
     both = sets.filter("_blocks > 1").join(rest, ["_id", "_cluster"])
-    here = both.select(*slim, "_group", F.lit(False).alias("_visits"), F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_j"))
-    part = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
-    there = both.filter("_rest").select(*slim, "_group", F.lit(True).alias("_visits"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"), part.alias("_j"))
+    wide = F.pmod(F.xxhash64("_id"), F.col("_wide")).cast("int").alias("_i")
+    here = both.select(*slim, "_group", F.lit(False).alias("_visits"), wide, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_j"))
+    part = F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_parts")).cast("int")
+    there = both.filter("_rest").select(*slim, "_group", F.lit(True).alias("_visits"), F.explode(F.sequence(F.lit(0), F.col("_wide") - 1)).alias("_i"), part.alias("_j"))
     return near, connected_components(_linked(here.unionByName(there), ["_cluster", "_i", "_j"], percent), "a", "b")
 
 

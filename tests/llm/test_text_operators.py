@@ -107,6 +107,7 @@ def test_near_copies_in_many_blocks(spark, monkeypatch):
             w[p] = f"x{i}-{p}"
         rows.append((i, " ".join(w), "s"))
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "REST_BLOCK", 16)
     got = minhash.near_duplicates(frame(spark, rows)).collect()
     assert collections.Counter(map(tuple, got)) == brute_components(rows, 85)
 
