@@ -57,9 +57,9 @@ def _by_id(values: list, id_: str = "doc_id"):
 
 
 def assets(spark: SparkSession, sf_dir: str, signatures: bool = False) -> DataFrame:
+    """Texts become hashes and signatures before the join, which so shuffles no text, at any size."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    rows = docs.join(labels, "doc_id", "left")
-    rows = rows.select(
+    rows = docs.select(
         "doc_id",
         F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), _by_id(_EXTENSIONS)).alias("path"),
         (F.col("n_chars") * 1024).cast("bigint").alias("file_size"),
@@ -68,14 +68,14 @@ def assets(spark: SparkSession, sf_dir: str, signatures: bool = False) -> DataFr
         F.lit(24).alias("bit_depth"),
         F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"),
         (F.lit(1600000000) + F.col("doc_id") * 7919 % 1000003).cast("double").alias("mtime"),
-        F.when(F.col("toxic") == 1, "image file is truncated").alias("error"),
         (F.col("doc_id") * 41 % 256).cast("int").alias("r"),
         (F.col("doc_id") * 67 % 256).cast("int").alias("g"),
         (F.col("doc_id") * 101 % 256).cast("int").alias("b"),
         *([simhash("text").alias("perceptual_hash")] if signatures else []),
     )
-    rows = rows.withColumn("pixel_count", F.col("width").cast("bigint") * F.col("height"))
-    return rows.withColumn("quality_score", S.quality_score())
+    rows = rows.withColumn("pixel_count", F.col("width").cast("bigint") * F.col("height")).withColumn("quality_score", S.quality_score())
+    error = F.when(F.col("toxic") == 1, "image file is truncated")
+    return rows.join(labels.hint("merge"), "doc_id", "left").withColumn("error", error).drop("toxic")
 
 
 def _case(expr: str, values: list) -> str:

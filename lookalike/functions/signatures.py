@@ -39,6 +39,18 @@ def distance(a: Column, b: Column, bits: int = 256) -> Column:
     return total.cast("int")
 
 
+def bit_range(signature: Column, first: int, bits: int) -> Column:
+    """That many bits (63 at most) of a packed signature from a place on, as an integer."""
+    if not bits:
+        return F.lit(0).cast("bigint")
+    word, left = signature[first // 64], 64 - first % 64
+    if bits <= left:
+        out = F.shiftrightunsigned(word, left - bits)
+    else:
+        out = F.shiftleft(word, bits - left).bitwiseOR(F.shiftrightunsigned(signature[first // 64 + 1], 64 - bits + left))
+    return out.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
 def bucket_key(signature: Column, positions: list[int]) -> Column:
     """The bits of a packed signature at the positions, the first as the highest bit of an integer."""
     out = None

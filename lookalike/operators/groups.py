@@ -11,7 +11,7 @@ from ..functions.signatures import distance, packed
 from ..schema import DEFAULT_THRESHOLD, HASH_BITS
 from ..storage import written
 from .components import connected_components
-from .index import near_pairs, representatives
+from .index import exact_links, near_pairs, representatives
 from .numbering import numbered
 
 
@@ -45,9 +45,9 @@ def duplicated_hashes(assets: DataFrame) -> DataFrame:
 
 def perceptual_candidates(assets: DataFrame, link_exact: bool = False) -> DataFrame:
     """Assets with a signature that are in no exact group; with link_exact the best of each exact group too (the least
-    path), so that near copies of it are found."""
+    path), so that near copies of it are found. Hashes are as large as the rows: the join shuffles both sides at any size."""
     signed = assets.filter(_has("perceptual_hash"))
-    copies = duplicated_hashes(assets)
+    copies = duplicated_hashes(assets).hint("merge")
     if link_exact:
         first = assets.filter(_has("file_hash")).groupBy("file_hash").agg(F.min("path").alias("path"))
         return signed.join(copies, "file_hash", "left_anti").unionByName(signed.join(first, ["file_hash", "path"], "left_semi"))
@@ -55,11 +55,15 @@ def perceptual_candidates(assets: DataFrame, link_exact: bool = False) -> DataFr
 
 
 def perceptual_links(candidates: DataFrame, threshold: int = DEFAULT_THRESHOLD, hash_bits: int = HASH_BITS, use_index: bool | None = None, target_recall: float | None = None) -> DataFrame:
-    """id1, id2: paths that equal signatures link to the least one, and near signatures' representatives."""
+    """id1, id2: paths that equal signatures link to the least one, and near signatures' representatives; without an index,
+    of these as many as connect what all of them do."""
     signatures = candidates.select(F.col("path").alias("id"), F.col("perceptual_hash").alias("signature"))
     reps, members = representatives(signatures, hash_bits)
     members = written(members, "members")
-    pairs = near_pairs(reps, threshold, hash_bits, use_index, target_recall).select("id1", "id2")
+    if use_index is None or use_index:
+        pairs = near_pairs(reps, threshold, hash_bits, use_index, target_recall).select("id1", "id2")
+    else:
+        pairs = exact_links(reps, threshold, hash_bits)
     return pairs.unionByName(members.filter("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2")))
 
 

@@ -145,3 +145,35 @@ def test_ranking_summary_and_nested(spark, library):
     assert groups.exact_groups(library.limit(0)).count() == 0
     assert groups.spread(groups.exact_groups(library), library).first()["radius"] == 0
     assert groups.valid_assets(library.withColumn("error", F.lit(""))).count() == 8
+
+
+def components_of(rows, pairs):
+    root = {i: i for i, _ in rows}
+    for a, b in sorted((min(p), max(p)) for p in pairs):
+        x, y = root[a], root[b]
+        if x != y:
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("threshold,bits", [(0, 256), (1, 256), (7, 256), (10, 256), (32, 256), (33, 256), (62, 256), (64, 256), (10, 64)])
+def test_exact_links_connect_what_all_pairs_do(spark, threshold, bits):
+    """Half of the links at the threshold itself, which differ in all parts alike, or in one of them."""
+    rng = random.Random(threshold)
+    rows = []
+    for i in range(120):
+        x = rng.getrandbits(bits)
+        chosen = rng.choice([threshold, threshold, threshold + 1, rng.randint(0, threshold)])
+        places = [rng.sample(range(bits), chosen), range(bits - chosen, bits), [int((k + rng.random()) * bits / chosen) for k in range(chosen)]][i % 3]
+        y = x
+        for p in places:
+            y ^= 1 << p
+        rows += [(2 * i, f"{x:0{bits // 4}x}"), (2 * i + 1, f"{y:0{bits // 4}x}")]
+    parts = index.segments(threshold, bits)
+    if parts:
+        assert sum(may + 1 for _, _, may in parts) == threshold + 1
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(parts, parts[1:])) and sum(parts[-1][:2]) <= bits
+    df = spark.createDataFrame([*rows, (1000, None), (1001, "xyz")], "id long, signature string")
+    got = [(r["id1"], r["id2"]) for r in index.exact_links(df, threshold, bits).collect()]
+    truth = {(a, b) for a, b, _ in brute(rows, threshold)}
+    assert len(truth) >= 60 and components_of(rows, got) == components_of(rows, truth)
