@@ -177,3 +177,21 @@ def test_exact_links_connect_what_all_pairs_do(spark, threshold, bits):
     got = [(r["id1"], r["id2"]) for r in index.exact_links(df, threshold, bits).collect()]
     truth = {(a, b) for a, b, _ in brute(rows, threshold)}
     assert len(truth) >= 60 and components_of(rows, got) == components_of(rows, truth)
+
+
+def test_exact_links_within_large_groups(spark):
+    """Chains that neighbours alone don't connect, in groups that are near each other; far fewer links than pairs."""
+    rng, rows = random.Random(1), []
+    for g in range(3):
+        x = rng.getrandbits(256)
+        for _ in range(250):
+            y = x
+            for p in rng.sample(range(256), rng.randint(8, 24)):
+                y ^= 1 << p
+            rows.append((len(rows), f"{y:064x}"))
+    df = spark.createDataFrame([(f"/{i:04d}", s) for i, s in rows], "path string, perceptual_hash string")
+    truth = {(f"/{a:04d}", f"/{b:04d}") for a, b, _ in brute(rows, 32)}
+    nodes = [(f"/{i:04d}", s) for i, s in rows]
+    got = [(r["id1"], r["id2"]) for r in groups.perceptual_links(df, 32, use_index=False).distinct().collect()]
+    assert components_of(nodes, got) == components_of(nodes, truth)
+    assert len(truth) > 30_000 and len(got) < 20 * len(rows)
