@@ -193,6 +193,16 @@ def test_extract_against_brute_force(spark, monkeypatch):
     assert sum((off - want).values()) > 20
 
 
+def test_every_page_goes_through_the_array(spark):
+    """Also one whose text structure decides, on a host without any other."""
+    rows = [(k, f"http://f.org/{k}", f"<body><nav>home news sport money weather and more</nav><article>{body_of(k)}</article></body>") for k in range(4)]
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(frame(spark, rows).repartition(2)).collect()}
+    assert got == {k: (body_of(k), 7) for k in range(4)}
+    rows = odd_pages()
+    want = collections.Counter((i, t, n) for (i, _, _), (t, n) in zip(rows, brute_extract(rows)))
+    assert collections.Counter((r["page_id"], r["text"], r["n_repeated"]) for r in html.extract(frame(spark, rows).repartition(3)).collect()) == want
+
+
 def test_pages_table(spark):
     """Every text of the table is as brute force has it, and the suffix array speaks of its rows."""
     pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/pages.parquet")
