@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,13 +62,8 @@ def bucket_key(signature: Column, positions: list[int]) -> Column:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _token_bits(token: str) -> bytes:
-    return hashlib.sha256(token.encode()).digest()
-
-
-#: Distinct tokens whose bits are held at once.
-_TOKENS = 1 << 15
+#: Characters of texts whose tokens are held at once, about.
+_HELD = 1 << 23
 
 
 def simhash_of(text: str | None) -> str | None:
@@ -76,30 +72,50 @@ def simhash_of(text: str | None) -> str | None:
 
 
 def simhashes(texts: Iterable[str | None]) -> list[str | None]:
-    """The same for many texts: the bits of a token are laid out once, a byte each, and added eight at a time."""
+    """The same for many texts: a token is hashed once for all that are held at once."""
     out: list[str | None] = []
-    known: dict[str, int] = {}
-    rows = np.zeros((_TOKENS, 32), np.uint64)
+    held: list[str] = []
+    size = 0
     for text in texts:
-        if text is None:
-            out.append(None)
-            continue
-        tokens = list(set(text.lower().split(" ")))
-        total = np.zeros(256, np.int64)
-        for at in range(0, len(tokens), 255):  # a byte counts up to 255
-            part = tokens[at : at + 255]
-            if len(known) + len(part) > _TOKENS:
-                known.clear()
-            new = [t for t in part if t not in known]
-            if new:
-                first = len(known)
-                known.update(zip(new, range(first, first + len(new))))
-                rows[first : first + len(new)] = np.unpackbits(np.frombuffer(b"".join(map(_token_bits, new)), np.uint8)).reshape(len(new), 256).view(np.uint64)
-            total += np.add.reduce(rows[[known[t] for t in part]], axis=0).view(np.uint8)
-        out.append(np.packbits(2 * total > len(tokens)).tobytes().hex())
+        out.append(None if text is None else "")
+        if text is not None:
+            held.append(text.lower())
+            size += len(text)
+        if size >= _HELD:
+            _fill(out, held)
+            held, size = [], 0
+    _fill(out, held)
     return out
 
 
+def _fill(out: list[str | None], lowered: list[str]) -> None:
+    """Puts the signatures of texts in the places that are empty yet, which are the last ones. Bits are laid out a byte each,
+    and added eight at a time."""
+    if not lowered:
+        return
+    cut = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+    tokens = cut.flatten().dictionary_encode()
+    words = tokens.dictionary
+    ends = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    digests = np.frombuffer(b"".join([hashlib.sha256(data[a:b]).digest() for a, b in zip(ends, ends[1:])]), np.uint64).reshape(-1, 4)
+    text = np.repeat(np.arange(len(lowered)), np.diff(cut.offsets.to_numpy()))
+    pairs = np.sort(text * len(words) + tokens.indices.to_numpy())
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]  # a token once for each text
+    text, token = np.divmod(pairs, len(words))
+    starts = np.searchsorted(text, np.arange(len(lowered) + 1)).tolist()
+    found = []
+    for first, end in zip(starts, starts[1:]):
+        total = np.zeros(256, np.int64)
+        for at in range(first, end, 255):  # a byte counts up to 255
+            bits = np.unpackbits(np.take(digests, token[at : min(at + 255, end)], axis=0).view(np.uint8).reshape(-1))
+            total += np.add.reduce(bits.view(np.uint64).reshape(-1, 32), axis=0).view(np.uint8)
+        found.append(np.packbits(2 * total > end - first).tobytes().hex())
+    empty = [i for i, x in enumerate(out) if x == ""]
+    for i, x in zip(empty, found):
+        out[i] = x
+
+
 def _simhashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(simhashes(None if pd.isna(t) else t for t in batch), index=batch.index, dtype=object)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -195,3 +196,28 @@ def test_exact_links_within_large_groups(spark):
     got = [(r["id1"], r["id2"]) for r in groups.perceptual_links(df, 32, use_index=False).distinct().collect()]
     assert components_of(nodes, got) == components_of(nodes, truth)
     assert len(truth) > 30_000 and len(got) < 20 * len(rows)
+
+
+def test_signatures_hash_a_token_once(monkeypatch):
+    """However many tokens the texts have; and signatures are those of a plain count, in texts of more tokens than a byte counts too."""
+    rng, asked = random.Random(2), []
+    sha256 = hashlib.sha256
+
+    def counted(token, **options):
+        asked.append(token)
+        return sha256(token, **options)
+
+    def plain(text):
+        tokens = set(text.lower().split(" "))
+        sums = [sum(int.from_bytes(sha256(t.encode()).digest()) >> (255 - p) & 1 for t in tokens) for p in range(256)]
+        return f"{int(''.join('1' if 2 * n > len(tokens) else '0' for n in sums), 2):064x}"
+
+    many = [f"w{i}" for i in range(70_000)]
+    odd = ["", " ", "  a", "A a", "a A\tb  a", "İ Σ ΑΣ", None, " ".join(many[:700]), " ".join(rng.choices(many, k=255)), None]
+    monkeypatch.setattr(hashlib, "sha256", counted)
+    found = S.simhashes([" ".join(many), *odd, " ".join(reversed(many))])
+    assert len(asked) == len(set(asked)) >= 70_000
+    assert found[0] == found[-1] and found[1:-1] == [t if t is None else plain(t) for t in odd]
+    assert S.simhashes([]) == [] and S.simhashes([None]) == [None]
+    monkeypatch.setattr(S, "_HELD", 9)
+    assert S.simhashes(odd) == found[1:-1]
